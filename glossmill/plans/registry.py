@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.operators.packed import split_packed
+from glossmill.plans import dictionary
 from glossmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +20,5 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_packed(c.unionByName(p), "text", ["origin", "row_id"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p2_found": p2_found} | dictionary.QUERIES
+ORACLE: dict[str, str] = {} | dictionary.ORACLE
