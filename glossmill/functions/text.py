@@ -88,11 +88,12 @@ def sentence_context(text: Column, start: Column) -> Column:
 def blank_word(sentence: Column, surface: Column) -> Column:
     """The first whole-word match of the surface form as ___, in any case; null without a match."""
     quoted = F.concat(F.lit(r"(?is)^(.*?)\b\Q"), F.replace(surface, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b(.*)$"))
-    return F.when(F.regexp_like(sentence, quoted), F.concat(F.regexp_extract(sentence, quoted, 1), F.lit("___"), F.regexp_extract(sentence, quoted, 2)))
+    part = lambda n: F.call_function("regexp_extract", sentence, quoted, F.lit(n))
+    return F.when(F.regexp_like(sentence, quoted), F.concat(part(1), F.lit("___"), part(2)))
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each word: ``key``, ``token_no`` from 0, ``token``, ``start``, ``end`` (code points, half-open).
+    """One row for each word: ``key``, ``token_no`` from 0, ``token``, ``start``, ``end`` (code points, half-open), ``gap`` before it.
 
     Offsets come from the lengths of words and gaps, summed along the text. Texts without words, empty and null ones
     give no rows. The words of a text are brought to one task for the sum, which holds one text's words at a time.
@@ -101,7 +102,7 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = cut.select(key, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.col("__g").alias("g"))).alias("token_no", "__x")).where(F.col("__x.w").isNotNull())
     along = Window.partitionBy(key).orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("__x.g") + F.length("__x.w")).over(along).cast("int")
-    return rows.select(key, "token_no", F.col("__x.w").alias("token"), end.alias("end")).select(key, "token_no", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    return rows.select(key, "token_no", F.col("__x.w").alias("token"), end.alias("end"), F.col("__x.g").alias("gap")).select(key, "token_no", "token", (F.col("end") - F.length("token")).alias("start"), "end", "gap")
 
 
 def first_matching(x: Column, cases: list[tuple[str, Column]], otherwise: Column) -> Column:
