@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +33,16 @@ LINK = (
 
 _END = r"[.!?…:;,][\"'»”“’)\]]*\s*$"
 _SENTENCE_END = r"[.!?…][\"'»”“’)\]]*\s*$"
-#: A line of three or more columns: by tabs, bars, wide spaces, or commas and semicolons without a space around.
-COLUMNS = r"\t[^\t]*\t|[|│][^|│]*[|│][^|│]*[|│]|[^\s.!?,] {2,}[^\s,]\S*(?: \S+){0,6} {2,}[^\s,]|^[^,;]*[^\s,;][,;][^\s,;][^,;]*[,;](?! )|^\s*[+|][-=+|:]{6,}"
+#: A line of three or more columns: by tabs, bars, wide spaces, commas and semicolons without a space around, rulers.
+_BARS = r"[|│][^|│]*[|│][^|│]*[|│]|^\s*[+|][-=+|:]{6,}"
+_WIDE = r"[^\s.!?,] {2,}[^\s,]\S*(?: \S+){0,6} {2,}[^\s,]"
+_COMMAS = r"^[^,;]++(?<=\S)[,;][^\s,;][^,;]*+[,;](?! )"
+
+
+def columns(x: Column) -> Column:
+    """Whether a line has three or more columns; plain searches keep the patterns off most lines."""
+    return x.rlike(_COMMAS) | (x.contains("  ") & x.rlike(_WIDE)) | ((x.contains("|") | x.contains("│") | x.contains("+-") | x.contains("+=")) & x.rlike(_BARS)) | (x.contains("\t") & x.rlike(r"\t[^\t]*\t"))
+
 
 STATISTICS = ("n_chars", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "vowel_ratio", "foreign_ratio", "end_punct_share", "sentence_end_share", "common_share", "clause_share", "link_share", "clause_line_share", "column_share", "column_lines", "line_words", "unit_words", "mark_words", "case_breaks", "distinct_words", "distinct_share", "markup_share")
 
@@ -68,7 +76,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     end a line; blank lines do not count. Repeated rows give rows of their own; other columns do not reach the result.
 
     n_words: runs of letters and marks. Ratios are to characters other than white space: symbol_ratio counts what is
-    no letter, digit or plain sentence punctuation, foreign_ratio letters beyond ASCII and replacement signs;
+    no letter, digit or plain sentence punctuation, foreign_ratio bytes of UTF-8 beyond one for each character;
     vowel_ratio is to characters in words. Shares of words are to n_words, shares of lines to lines, but
     clause_line_share (lines of five or more words with a clause word) and column_share are weighted by length.
     line_words, unit_words: words to a line, and to a stretch between lines, semicolons, bars and bullets.
@@ -77,12 +85,15 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     n = lambda c: c.cast("double")
     per = lambda a, b: F.when(b > 0, n(a) / n(b)).otherwise(F.lit(0.0))
     among = lambda words: lambda x: x.isin(sorted(set(words)))
-    rows = df.select(F.col(key).alias("__key"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?|[\x0b\x0c\x85\x{2028}\x{2029}]", "\n").alias("__t"))
-    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__t", "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != "").alias("__lines"), F.regexp_extract_all(F.lower("__t"), F.lit(r"[\p{L}\p{M}]+"), 0).alias("__w"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    odd = [t.contains(c) for c in ("\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")]
+    one_end = F.when(reduce(lambda a, b: a | b, odd), F.regexp_replace(t, r"\r\n?|[\x0b\x0c\x85\x{2028}\x{2029}]", "\n")).otherwise(t)
+    rows = _step(df, F.col(key).alias("__key"), one_end.alias("__t"), F.lower(one_end).alias("__low"))
+    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != "").alias("__lines"), F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}]+"), 0).alias("__w"))
     lines, t = F.col("__lines"), F.col("__t")
-    ink = F.regexp_replace(t, r"\s+", "")
     sized = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
-    sentence = lambda x: (F.size(F.split(x, r"[^\p{L}\p{M}]+")) >= 5) & F.exists(F.split(F.lower(x), r"[^\p{L}\p{M}]+"), among(CLAUSE))
+    parts = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), F.split(x, r"[^\p{L}\p{M}]+").alias("w")))
+    sentences = F.aggregate(parts, F.lit(0), lambda s, x: s + F.when((F.size(x["w"]) >= 5) & F.exists(x["w"], among(CLAUSE)), x["n"]).otherwise(0))
     counts = {
         "n_chars": F.length("__t"),
         "n_words": F.size("__w"),
@@ -90,19 +101,19 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "distinct_words": F.size(F.array_distinct("__w")),
         "__clause": F.size(F.filter("__w", among(CLAUSE))),
         "__link": F.size(F.filter("__w", among(LINK))),
-        "__n_ink": F.length(ink),
-        "__symbols": F.length(F.regexp_replace(ink, r"[A-Za-z0-9.,;:!?'’\"“”„«»()\-–—¿¡\p{L}\p{M}]+", "")),
-        "__digits": F.length(F.regexp_replace(ink, r"[^0-9]+", "")),
-        "__vowels": F.length(F.regexp_replace(ink, r"[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+", "")),
-        "__foreign": F.length(F.regexp_replace(ink, r"[\x21-\x7e’“”„«»–—¿¡]+", "")),
-        "__units": F.regexp_count(ink, F.lit(r"[;|•·│]")),
-        "__marks": F.regexp_count(ink, F.lit(r"[,;|•·│/]")),
-        "__breaks": F.regexp_count(ink, F.lit(r"[a-z][A-Z](?![a-z]{3})")),
+        "__n_ink": F.length(F.regexp_replace(t, r"\s+", "")),
+        "__symbols": F.length(F.regexp_replace(t, r"[A-Za-z0-9\s.,;:!?'’\"“”„«»()\-–—¿¡\p{L}\p{M}]+", "")),
+        "__digits": F.length(F.regexp_replace(t, r"[^0-9]+", "")),
+        "__vowels": F.length(F.regexp_replace(t, r"[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+", "")),
+        "__foreign": F.octet_length(t) - F.length(t),
+        "__units": F.regexp_count(t, F.lit(r"[;|•·│]")),
+        "__marks": F.regexp_count(t, F.lit(r"[,;|•·│/]")),
+        "__breaks": F.regexp_count(t, F.lit(r"[a-z][A-Z](?![a-z]{3})")),
         "__n_lines": F.size(lines),
         "__ends": F.size(F.filter(lines, lambda x: x.rlike(_END))),
         "__stops": F.size(F.filter(lines, lambda x: x.rlike(_SENTENCE_END))),
-        "__columns": F.filter(lines, lambda x: x.rlike(COLUMNS)),
-        "__clause_chars": sized(F.filter(lines, sentence)),
+        "__columns": F.filter(lines, columns),
+        "__clause_chars": sentences,
         "__line_chars": sized(lines),
         "__tags": F.when(t.contains("<"), F.length(t) - F.length(F.regexp_replace(t, r"<[^<>\n]*>", ""))).otherwise(0),
     }

@@ -120,7 +120,7 @@ class Irep:
 
     def _prune(self, rule, pos, neg):
         worth = lambda k: ((p := sum(self.covers(rule[:k], r) for r in pos)) - (n := sum(self.covers(rule[:k], r) for r in neg))) / max(1, p + n)
-        return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
+        return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), k))]
 
     def fit(self, rows, kinds, order):
         """Rules for each kind in order; rows that earlier rules cover are gone for later ones."""
@@ -137,7 +137,7 @@ class Irep:
                 rule = self._grow(pos[:a], neg[:b])
                 rule = rule and self._prune(rule, pos[a:], neg[b:])
                 p, n = sum(self.covers(rule, r) for r in pos[a:]), sum(self.covers(rule, r) for r in neg[b:])
-                if not rule or p == 0 or n > 0.1 * (p + n):
+                if not rule or p == 0 or n > 0.03 * (p + n):
                     failed += 1
                     continue
                 out.append({"kind": kind, "when": [list(c) for c in rule]})
