@@ -49,7 +49,7 @@ STATISTICS = ("n_chars", "n_words", "mean_word_len", "symbol_ratio", "digit_rati
 
 #: The counts that each statistic is made of.
 _NEEDS = {
-    "n_chars": "n_chars __n_ink", "n_words": "n_words", "mean_word_len": "__in_words n_words", "symbol_ratio": "__symbols __n_ink", "digit_ratio": "__digits __n_ink", "vowel_ratio": "__vowels __in_words",
+    "n_chars": "n_chars __n_ink", "n_words": "n_words", "mean_word_len": "__in_words n_words", "symbol_ratio": "__in_words __digits __n_ink", "digit_ratio": "__digits __n_ink", "vowel_ratio": "__vowels __in_words",
     "foreign_ratio": "__foreign __n_ink", "end_punct_share": "__ends __n_lines", "sentence_end_share": "__stops __n_lines", "common_share": "__clause __link n_words", "clause_share": "__clause n_words",
     "link_share": "__link n_words", "clause_line_share": "__clause_chars __line_chars", "column_share": "__columns __line_chars", "column_lines": "__columns", "line_words": "n_words __n_lines",
     "unit_words": "n_words __n_lines __units", "mark_words": "__marks n_words", "case_breaks": "__breaks n_words", "distinct_words": "distinct_words", "distinct_share": "distinct_words n_words", "markup_share": "__tags n_chars",
@@ -76,7 +76,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     end a line; blank lines do not count. Repeated rows give rows of their own; other columns do not reach the result.
 
     n_words: runs of letters and marks. Ratios are to characters other than white space: symbol_ratio counts what is
-    no letter, digit or plain sentence punctuation, foreign_ratio bytes of UTF-8 beyond one for each character;
+    no letter, mark or digit, foreign_ratio bytes of UTF-8 beyond one for each character;
     vowel_ratio is to characters in words. Shares of words are to n_words, shares of lines to lines, but
     clause_line_share (lines of five or more words with a clause word) and column_share are weighted by length.
     line_words, unit_words: words to a line, and to a stretch between lines, semicolons, bars and bullets.
@@ -89,7 +89,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     odd = [t.contains(c) for c in ("\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")]
     one_end = F.when(reduce(lambda a, b: a | b, odd), F.regexp_replace(t, r"\r\n?|[\x0b\x0c\x85\x{2028}\x{2029}]", "\n")).otherwise(t)
     rows = _step(df, F.col(key).alias("__key"), one_end.alias("__t"), F.lower(one_end).alias("__low"))
-    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != "").alias("__lines"), F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}]+"), 0).alias("__w"))
+    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: x.rlike(r"\S")).alias("__lines"), F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}]+"), 0).alias("__w"))
     lines, t = F.col("__lines"), F.col("__t")
     sized = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
     parts = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), F.split(x, r"[^\p{L}\p{M}]+").alias("w")))
@@ -102,7 +102,6 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "__clause": F.size(F.filter("__w", among(CLAUSE))),
         "__link": F.size(F.filter("__w", among(LINK))),
         "__n_ink": F.length(F.regexp_replace(t, r"\s+", "")),
-        "__symbols": F.length(F.regexp_replace(t, r"[A-Za-z0-9\s.,;:!?'’\"“”„«»()\-–—¿¡\p{L}\p{M}]+", "")),
         "__digits": F.length(F.regexp_replace(t, r"[^0-9]+", "")),
         "__vowels": F.length(F.regexp_replace(t, r"[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+", "")),
         "__foreign": F.octet_length(t) - F.length(t),
@@ -122,7 +121,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "n_chars": n(F.when(all_ink > 0, F.col("n_chars")).otherwise(0)),
         "n_words": n(w),
         "mean_word_len": per(F.col("__in_words"), w),
-        "symbol_ratio": per(F.col("__symbols"), all_ink),
+        "symbol_ratio": per(all_ink - F.col("__in_words") - F.col("__digits"), all_ink),
         "digit_ratio": per(F.col("__digits"), all_ink),
         "vowel_ratio": per(F.col("__vowels"), F.col("__in_words")),
         "foreign_ratio": per(F.col("__foreign"), all_ink),
