@@ -94,6 +94,11 @@ class Filler:
             yield from self._one()
 
 
+def partitions_for(n_items: int) -> int:
+    """Number of partitions for so many items."""
+    return min(MAX_PARTITIONS, max(1, -(-n_items // PARTITION_ITEMS)))
+
+
 def fill_all(items: DataFrame, key: str, size: str, specs: DataFrame, window: int = WINDOW, partitions: int | None = None) -> DataFrame:
     """The items filled into containers of every capacity of ``specs`` (``spec_id``, ``capacity_tokens``), a filling each.
 
@@ -105,13 +110,13 @@ def fill_all(items: DataFrame, key: str, size: str, specs: DataFrame, window: in
     The sizes are shuffled once, as key and number: items are spread by a hash over partitions whose number depends on
     the number of items only. Each task streams its items in key order with a window of ``window`` waiting ones for
     each capacity, so neither memory nor result depends on the cluster. Only the last containers of a partition have
-    a short window. The specs are few; they are read to the driver, at most 1000.
+    a short window. Give ``partitions`` (see
+    partitions_for) where counting ``items`` would compute their sizes twice. The specs are few; they are read to the driver, at most 1000.
     """
     caps = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").orderBy("spec_id").limit(1001).collect()]
     if len(caps) > 1000 or any(c is None or c < 1 for _, c in caps):
         raise ValueError("specs must be at most 1000 positive capacities")
-    if partitions is None:
-        partitions = min(MAX_PARTITIONS, max(1, -(-items.count() // PARTITION_ITEMS)))
+    partitions = partitions_for(items.count()) if partitions is None else partitions
     rows = items.select(F.col(key), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("__n"))
     rows = rows.repartition(partitions, F.xxhash64(key), F.col("__n")).sortWithinPartitions(key, "__n")
     kind, names = rows.schema[key].dataType, ["spec_id", "container_id", key, "piece_no", "piece_from", "piece_to"]

@@ -68,7 +68,9 @@ def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return containers.fill_all(tokens.token_counts(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "n_tokens", table(spark, folder, "container_spec"))
+    docs = table(spark, folder, "documents")
+    sizes = tokens.token_counts(docs, "doc_id", "text")
+    return containers.fill_all(sizes, "doc_id", "n_tokens", table(spark, folder, "container_spec"), partitions=containers.partitions_for(docs.count()))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
