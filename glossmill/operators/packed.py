@@ -45,7 +45,7 @@ _SURE = len(LISTED) + 2  # classes below this number are listed
 CELLS = 1 << 16  # of each of the two rows of the table of frequencies
 BUCKETS = 2 * CELLS
 _CHAR, _NEW = log(1 / 40), log(0.05)  # a new value: cost of each character and of being new
-_EDGE = 1e-6
+_EDGE, _LISTED_START = 1e-6, 0.999
 
 
 def places(text: str) -> list[tuple[int, int, int]]:
@@ -133,7 +133,7 @@ class Model:
 
     counts: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
     total: float = 1.0
-    separates: list[float] = field(default_factory=lambda: [0.95] * _SURE + [0.5] * len(LEARNED))
+    separates: list[float] = field(default_factory=lambda: [_LISTED_START] * _SURE + [0.5] * len(LEARNED))
 
 
 class Lattice:
@@ -158,21 +158,19 @@ class Lattice:
         self.score = score
 
     def build(self, text: str):
-        """(atoms as (start, end), classes between them); marks with nothing between them act as one place."""
+        """(trimmed atoms as (start, end), classes between them); marks with nothing between them act as one place."""
         atoms, classes, at, kind = [], [], 0, None
-        for s, e, c in places(text):
-            if text[at:s].strip():
+        for s, e, c in [*places(text), (len(text), len(text), N_CLASSES)]:
+            part = text[at:s].strip()
+            if part:
                 if atoms:
                     classes.append(kind)
-                atoms.append((at, s))
+                first = text.index(part, at)
+                atoms.append((first, first + len(part)))
                 kind = c
             elif kind is not None and c < kind:
                 kind = c
             at = e
-        if text[at:].strip():
-            if atoms:
-                classes.append(kind)
-            atoms.append((at, len(text)))
         return atoms, classes
 
     def edges(self, text: str, atoms, classes):
@@ -182,7 +180,7 @@ class Lattice:
             row, literal = [], 0.0
             for i in range(j, max(-1, j - self.max_span), -1):
                 if i < j:
-                    literal += self.keep[classes[i]]
+                    literal += self.keep[classes[i]] - _CHAR * (atoms[i + 1][0] - atoms[i][1])  # the mark is paid for here, not by its characters
                 value = unquoted(text[atoms[i][0] : atoms[j][1]].strip())
                 row.append((i, value, literal + self.score(value) + (self.cut[classes[i - 1]] if i else 0.0)))
             out.append(row)
@@ -279,7 +277,7 @@ def fit(texts: DataFrame, iterations: int = 2, max_span: int = 3) -> Model:
         every[sums["b"].to_numpy()] = sums["w"].to_numpy()
         counts = single + every[:BUCKETS].astype(np.float32)
         cut, seen = every[BUCKETS : BUCKETS + N_CLASSES], every[BUCKETS + N_CLASSES :]
-        prior = [0.95] * _SURE + [0.5] * len(LEARNED)
+        prior = [_LISTED_START] * _SURE + [0.5] * len(LEARNED)
         model = Model(counts, float(counts.sum()) / 2, [float((c + 20 * p) / (s + 20)) for c, s, p in zip(cut, seen, prior)])
     return model
 

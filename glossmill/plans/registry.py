@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.operators.packed import split_packed
-from glossmill.plans import dictionary, page, quality, review
+from glossmill.plans import dictionary, page, quality, review, streams
 from glossmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,5 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_packed(c.unionByName(p), "text", ["origin", "row_id"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found} | dictionary.QUERIES | page.QUERIES | review.QUERIES | quality.QUERIES
-ORACLE: dict[str, str] = dictionary.ORACLE | page.ORACLE | review.ORACLE | quality.ORACLE
+QUERIES: dict[str, Query] = {"p2_found": p2_found} | dictionary.QUERIES | page.QUERIES | review.QUERIES | quality.QUERIES | streams.QUERIES
+ORACLE: dict[str, str] = dictionary.ORACLE | page.ORACLE | review.ORACLE | quality.ORACLE | streams.ORACLE
