@@ -14,8 +14,9 @@ _SILENT = r"[\p{P}\p{Z}\s\x{1c}-\x{1f}\x{85}]+"
 
 
 def normalised(value: Column) -> Column:
-    """The value without white space and punctuation, letter case folded (upper then lower, so that a sharp s equals ss)."""
-    return F.regexp_replace(F.lower(F.upper(value)), _SILENT, "")
+    """The value without white space and punctuation, letter case folded: a sharp s equals ss, as its capital does."""
+    folded = F.replace(F.translate(F.lower(value), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(folded, _SILENT, "")
 
 
 def _fingerprint(pairs: list[tuple[str, Column]], seed: str) -> Column:

@@ -113,7 +113,9 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
-        return self.cluster.sub(lambda m: self.form(m[0]), text)
+        out = self.cluster.sub(lambda m: self.form(m[0]), text)
+        # compositions that need no mark, as of Hangul letters, or that only the deletions made possible
+        return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 
 
 @lru_cache(1)
