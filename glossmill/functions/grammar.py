@@ -103,9 +103,8 @@ def article_form(lang: Column, target: Column, plural: Column, gender: Column, i
 ARTICLE_BEFORE = r"(?:^|\W)((?i:the|an|a))(\s+)$"
 
 
-def article_before(text: Column, start: Column) -> tuple[Column, Column]:
-    """(kind, start with the article) of an English article within the 16 characters before the offset (from 0)."""
-    back = F.substring(text, F.greatest(F.lit(0), start - 16) + 1, F.least(F.lit(16), start))
+def article_before(back: Column, start: Column) -> tuple[Column, Column]:
+    """(kind, start with the article) of an English article at the end of the 16 characters before the offset."""
     word = F.lower(F.regexp_extract(back, ARTICLE_BEFORE, 1))
     kind = F.when(word == "the", "definite").when(word != "", "indefinite")
     return kind, start - F.length(word) - F.length(F.regexp_extract(back, ARTICLE_BEFORE, 2))

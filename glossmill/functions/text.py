@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as scripting languages see it; Java's own class is ASCII only.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Words whose text the column ``back`` draws on: an article and the character before it lie within the last two.
+LOOK_BACK = 2
 WORD = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -93,7 +95,8 @@ def blank_word(sentence: Column, surface: Column) -> Column:
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each word: ``key``, ``token_no`` from 0, ``token``, ``start``, ``end`` (code points, half-open), ``gap`` before it.
+    """One row for each word: ``key``, ``token_no`` from 0, ``token``, ``start``, ``end`` (code points, half-open), ``gap`` before
+    it, and ``back``, the 16 characters before it (fewer at the start).
 
     Offsets come from the lengths of words and gaps, summed along the text. Texts without words, empty and null ones
     give no rows. The words of a text are brought to one task for the sum, which holds one text's words at a time.
@@ -102,7 +105,12 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = cut.select(key, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.col("__g").alias("g"))).alias("token_no", "__x")).where(F.col("__x.w").isNotNull())
     along = Window.partitionBy(key).orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("__x.g") + F.length("__x.w")).over(along).cast("int")
-    return rows.select(key, "token_no", F.col("__x.w").alias("token"), end.alias("end"), F.col("__x.g").alias("gap")).select(key, "token_no", "token", (F.col("end") - F.length("token")).alias("start"), "end", "gap")
+    order = Window.partitionBy(key).orderBy("token_no")
+    before = lambda c, n: F.coalesce(F.lag(F.col(f"__x.{c}"), n).over(order), F.lit(""))
+    # words and gaps are never empty inside a text but for the first gap, so a few of them hold what a look back needs
+    back = F.concat(*[x for n in range(LOOK_BACK, 0, -1) for x in (before("g", n), before("w", n))], F.col("__x.g"))
+    out = rows.select(key, "token_no", F.col("__x.w").alias("token"), end.alias("end"), F.col("__x.g").alias("gap"), F.right(back, F.lit(16)).alias("back"))
+    return out.select(key, "token_no", "token", (F.col("end") - F.length("token")).alias("start"), "end", "gap", "back")
 
 
 def first_matching(x: Column, cases: list[tuple[str, Column]], otherwise: Column) -> Column:
