@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions import grammar, text
 
@@ -73,17 +77,34 @@ def greedy_matches(matches: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.explode(fold).alias("__x")).select(key, "__x.start", "__x.end", "__x.phrase", (-F.col("__x.__n")).alias("n_words"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _accepted(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Positions of the ranges that do not overlap one accepted before."""
+
+    def one(start, end) -> list[int]:
+        out, at, to = [], [], []
+        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+            k = bisect_left(at, b)  # accepted ranges that start before this one ends
+            if k == 0 or to[k - 1] <= a:
+                at.insert(k, a)
+                to.insert(k, b)
+                out.append(i)
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(starts, ends)], dtype=object)
+
+
 def select_ranges(ranges: DataFrame, key: str) -> DataFrame:
     """Non-overlapping ranges: by priority, then start, length (longer first), end; empty ranges are left out.
 
-    ``ranges``: key, start, end, priority and payload columns. Accepted ranges of a text stay in one sorted fold.
+    ``ranges``: key, start, end, priority and payload columns. Ranges of a text are taken
+    in order against those accepted so far, kept sorted, in n log n steps.
     """
     payload = [c for c in ranges.columns if c not in (key, "start", "end", "priority")]
     item = F.struct((-F.col("priority")).alias("__p"), "start", (F.col("start") - F.col("end")).alias("__l"), "end", *payload)
     grouped = ranges.where(F.col("end") > F.col("start")).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__r"))
-    none = F.filter("__r", lambda x: F.lit(False))
-    fold = F.aggregate("__r", none, lambda s, r: F.when(F.exists(s, lambda t: (t["start"] < r["end"]) & (t["end"] > r["start"])), s).otherwise(F.concat(s, F.array(r))))
-    return grouped.select(key, F.explode(fold).alias("__x")).select(key, "__x.start", "__x.end", (-F.col("__x.__p")).alias("priority"), *[F.col(f"__x.{c}").alias(c) for c in payload])
+    kept = _accepted(F.col("__r.start"), F.col("__r.end"))
+    return grouped.select(key, F.explode(F.transform(kept, lambda i: F.get("__r", i))).alias("__x")).select(key, "__x.start", "__x.end", (-F.col("__x.__p")).alias("priority"), *[F.col(f"__x.{c}").alias(c) for c in payload])
 
 
 def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
@@ -97,11 +118,13 @@ def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key:
     good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level))
     firsts = accepted.join(good.where("n_words > 1").select(F.col("key").alias("phrase")), "phrase").groupBy(key, "phrase").agg(F.min(F.struct("start", "end")).alias("__f"))
     firsts = firsts.select(key, F.col("phrase").alias("lemma"), "__f.start", "__f.end", F.lit("expression").alias("kind"))
-    words = tokens.where(~F.col("token").rlike("['-]") & ~F.lower("token").isin(grammar.PRONOUNS))
-    low = F.lower("token")
-    forms = words.select(key, "start", "end", F.explode(F.array_distinct(F.array(F.struct(low.alias("lemma"), F.lit("").alias("need")), F.struct(grammar.singular(low).alias("lemma"), F.lit("noun").alias("need")), F.struct(grammar.verb_lemma(low).alias("lemma"), F.lit("verb").alias("need"))))).alias("__v"), low.alias("__low"))
-    met = forms.join(good.where("n_words = 1").select(F.col("key").alias("__k"), F.col("part_of_speech").alias("__pos")), F.col("__v.lemma") == F.col("__k"))
-    met = met.where((F.col("__v.need") == "") | (F.col("__v.need") == F.col("__pos"))).where(~F.col("__k").isin(grammar.PRONOUNS)).select(key, F.col("__k").alias("lemma"), "start", "end", F.col("__pos").alias("kind"))
+    words = tokens.where(~F.col("token").rlike("['-]")).select(key, "start", "end", F.lower("token").alias("__low")).where(~F.col("__low").isin(grammar.PRONOUNS))
+    low = F.col("__low")  # forms are made once for each word of the corpus, not for each time it stands there
+    need = lambda lemma, pos: F.struct(lemma.alias("lemma"), F.lit(pos).alias("need"))
+    forms = words.select("__low").distinct().select("__low", F.explode(F.array(need(low, ""), need(grammar.singular(low), "noun"), need(grammar.verb_lemma(low), "verb"))).alias("__v"))
+    hits = forms.join(good.where("n_words = 1").select(F.col("key").alias("__k"), F.col("part_of_speech").alias("kind")), F.col("__v.lemma") == F.col("__k"))
+    hits = hits.where((F.col("__v.need") == "") | (F.col("__v.need") == F.col("kind"))).where(~F.col("__k").isin(grammar.PRONOUNS)).select("__low", F.col("__k").alias("lemma"), "kind").distinct()
+    met = words.join(hits, "__low").select(key, "lemma", "start", "end", "kind")
     taken = firsts.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
     free = met.join(taken, (met[key] == taken[key]) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), "left_anti")
     single = free.groupBy(key, "lemma").agg(F.min(F.struct("start", "end", "kind")).alias("__f")).select(key, "lemma", "__f.start", "__f.end", "__f.kind")
@@ -122,6 +145,7 @@ def render(docs: DataFrame, chosen: DataFrame, key: str, text_col: str) -> DataF
     """
     grouped = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "display"))).alias("__r"))
     t = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fold = F.aggregate("__r", start, lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["out"], F.substring(t, s["at"] + 1, r["start"] - s["at"]), r["display"]).alias("out")), lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    return docs.join(grouped, key, "left").select(key, F.when(F.col("__r").isNull(), t).otherwise(fold).alias("rendered"))
+    since = lambda i: F.coalesce(F.get("__r", i - 1)["end"], F.lit(0))
+    pieces = F.transform("__r", lambda r, i: F.concat(F.substring(t, since(i) + 1, r["start"] - since(i)), r["display"]))
+    out = F.concat(F.array_join(pieces, ""), F.substring(t, since(F.size("__r")) + 1, F.length(t)))
+    return docs.join(grouped, key, "left").select(key, F.when(F.col("__r").isNull(), t).otherwise(out).alias("rendered"))
