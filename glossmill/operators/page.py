@@ -55,11 +55,11 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, key: str, most: int =
     equi-join.
     """
     along = Window.partitionBy(key).orderBy("token_no")
-    low = F.lower("token")
-    grown, words, ok = [], low, F.lit(True)
+    tokens = tokens.select(key, "token_no", F.lower("token").alias("__low"), "start", "end", F.col("gap").rlike(f"^{text.SPACE}+$").alias("__apart"))
+    grown, words, ok = [], F.col("__low"), F.lit(True)
     for n in range(2, most + 1):
-        words = F.concat_ws(" ", words, F.lead(low, n - 1).over(along))
-        ok = ok & F.lead("gap", n - 1).over(along).rlike(f"^{text.SPACE}+$")
+        words = F.concat_ws(" ", words, F.lead("__low", n - 1).over(along))
+        ok = ok & F.lead("__apart", n - 1).over(along)
         grown.append(F.when(ok, F.struct(words.alias("phrase"), F.lit(n).alias("n_words"), F.lead("end", n - 1).over(along).alias("end"))))
     each = tokens.select(key, "start", F.array(*grown).alias("__g")).select(key, "start", F.explode("__g").alias("__p")).where("__p IS NOT NULL")
     return each.select(key, "start", "__p.end", "__p.phrase", "__p.n_words").join(phrases.select("phrase", "n_words"), ["phrase", "n_words"]).select(key, "start", "end", "phrase", "n_words")
