@@ -165,3 +165,19 @@ def shard_lookup(wanted: DataFrame, core: DataFrame, tail: DataFrame) -> DataFra
     t = tail.select("target_lang", "key", F.lit("tail").alias("__s2"), F.col("target").alias("__t2"), F.col("entry_id").alias("__e2"))
     both = wanted.join(c, ["target_lang", "key"], "left").join(t, ["target_lang", "key"], "left")
     return both.select("target_lang", "key", F.coalesce("__s1", "__s2").alias("shard"), F.when(F.col("__s1").isNotNull(), F.col("__t1")).otherwise(F.col("__t2")).alias("target"), F.coalesce("__e1", "__e2").alias("entry_id"))
+
+
+def strip_generated(pack: DataFrame, generated: str, curated: str) -> DataFrame:
+    """Pack without rows an earlier import made: those with the generated id and not the curated one.
+
+    Rows without source ids get the curated id first.
+    """
+    ids = F.when(F.coalesce(F.size("source_ids"), F.lit(0)) > 0, F.col("source_ids")).otherwise(F.array(F.lit(curated)))
+    p = pack.withColumn("source_ids", ids)
+    return p.where(~(F.array_contains("source_ids", generated) & ~F.array_contains("source_ids", curated)))
+
+
+def noun_metadata(records: DataFrame, ordinal: str) -> DataFrame:
+    """word, gender, plural of the first noun record of each word; ``records`` has word, pos, gender, plural."""
+    nouns = records.where("pos = 'noun' AND trim(word) <> ''").select(F.trim("word").alias("word"), "gender", "plural", F.col(ordinal).alias("__o"))
+    return best_by(nouns, ["word"], [F.col("__o")]).drop("__o")

@@ -149,3 +149,32 @@ def render(docs: DataFrame, chosen: DataFrame, key: str, text_col: str) -> DataF
     pieces = F.transform("__r", lambda r, i: F.concat(F.substring(t, since(i) + 1, r["start"] - since(i)), r["display"]))
     out = F.concat(F.array_join(pieces, ""), F.substring(t, since(F.size("__r")) + 1, F.length(t)))
     return docs.join(grouped, key, "left").select(key, F.when(F.col("__r").isNull(), t).otherwise(out).alias("rendered"))
+
+
+def retain_ranks(scored: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """Ranks that survive a refresh: lemmas ranked before keep their order, new ones follow by score, then lemma.
+
+    ``scored``: key, lemma, score (lemmas of score 0 are left out unless ranked before); ``previous``: key, lemma, rn.
+    Lemmas that are no candidates any more lose their place.
+    """
+    before = previous.select(key, "lemma", F.col("rn").alias("__old"))
+    j = scored.join(before, [key, "lemma"], "left").where("score > 0 OR __old IS NOT NULL")
+    return j.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("__old"), F.desc("score"), "lemma"))).drop("__old")
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def label_text(separator: str, *parts: Column) -> Column:
+    """The non-empty parts joined: accessible labels by comma, tooltips by line."""
+    return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def is_dark(colour: Column) -> Column:
+    """Whether an rgb() or rgba() colour is dark (luma under one half); null when it is too transparent to tell or no such colour."""
+    rgb = r"^rgba?\(\s*(\d+)[,\s]+(\d+)[,\s]+(\d+)(?:[,/\s]+([\d.]+))?\s*\)$"
+    part = lambda i: F.regexp_extract(colour, rgb, i)
+    alpha = F.when(part(4) == "", 1.0).otherwise(F.try_to_number(part(4), F.lit("9.999")).cast("double"))
+    luma = (0.2126 * part(1).try_cast("double") + 0.7152 * part(2).try_cast("double") + 0.0722 * part(3).try_cast("double")) / 255
+    return F.when(colour.rlike(rgb) & (F.coalesce(alpha, F.lit(1.0)) > 0.2), luma < 0.5)

@@ -161,3 +161,10 @@ def curate(pack: DataFrame, curated: DataFrame) -> DataFrame:
     noun = F.col("__p") == "noun"
     new = {"promoted": F.coalesce(hit, F.lit(False)), "target": F.when(hit, F.col("__t")).otherwise(F.col("target")), "gender": F.when(hit, F.when(noun, F.col("__g"))).otherwise(F.col("gender")), "plural": F.when(hit, F.when(noun, F.col("__l"))).otherwise(F.col("plural")), "confidence": F.when(hit, "high").otherwise(F.col("confidence")), "eligible": F.when(hit, True).otherwise(F.col("eligible")), "part_of_speech": F.when(hit, F.col("__p")).otherwise(F.col("part_of_speech"))}
     return j.withColumns(new).drop("__t", "__p", "__g", "__l")
+
+
+def duplicate_raw_keys(documents: DataFrame, text: str) -> DataFrame:
+    """Entry keys that a raw pack document holds more than once, with the line of each; a JSON parser would hide them."""
+    lines = documents.select(F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    keys = lines.select((F.col("no") + 1).alias("line_no"), F.regexp_extract("line", r'^\s*"([^"]+)"\s*:\s*\{', 1).alias("key")).where("key NOT IN ('', 'entries')")
+    return keys.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("line_no")).alias("lines")).where("n > 1").drop("n")

@@ -127,7 +127,12 @@ def pos_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("target_lang", "part_of_speech").agg(F.count("*").alias("n_entries"), F.count_if(F.coalesce("en_zipf", F.lit(0.0)) >= 5).alias("n_common"), F.max("frequency_rank").alias("max_rank"))
 
 
-QUERIES = {f.__name__: f for f in (word_zipf, word_tokens_offsets, pack_core, pack_tail, pack_lookup, core_tail_overlap, dict_normalise, dict_best, dict_rank_append, gloss_pieces, invert_best, tail_candidates, derived_plurals, spanish_nouns, plural_repairs, article_forms, source_id_counts, pos_counts)}
+def strip_generated(spark: SparkSession, folder: str) -> DataFrame:
+    p = d.strip_generated(table(spark, folder, "pack_entry"), "freedict-es", "curated-core")
+    return p.groupBy("target_lang").agg(F.count("*").alias("n_entries"), F.sum(F.size("source_ids")).alias("n_ids"))
+
+
+QUERIES = {f.__name__: f for f in (word_zipf, word_tokens_offsets, pack_core, pack_tail, pack_lookup, core_tail_overlap, dict_normalise, dict_best, dict_rank_append, gloss_pieces, invert_best, tail_candidates, derived_plurals, spanish_nouns, plural_repairs, article_forms, source_id_counts, pos_counts, strip_generated)}
 
 
 def _in(words: list[str]) -> str:
@@ -191,7 +196,7 @@ _FIRST = r"split_part(trim(regexp_replace(noun, '[\s\x{A0}\x{2000}-\x{200A}\x{20
 
 ORACLE = {
     "word_zipf": "SELECT word, n, round(log10(n * 1e9 / sum(n) OVER ()), 2) AS zipf FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word)",
-    "word_tokens_offsets": f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS g FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, w, g, unnest(range(len(w))) AS i FROM t), s AS (SELECT doc_id, CAST(i AS INTEGER) AS token_no, w[i + 1] AS token, CAST(sum(length(w[i + 1]) + length(g[i + 1])) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM r) SELECT doc_id, token_no, token, CAST(stop - length(token) AS INTEGER) AS start, stop FROM s",
+    "word_tokens_offsets": f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS g FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, unnest(w) AS token, unnest(list_slice(g, 1, len(w))) AS gap, unnest(range(len(w))) AS i FROM t), s AS (SELECT doc_id, CAST(i AS INTEGER) AS token_no, token, CAST(sum(length(token) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM r) SELECT doc_id, token_no, token, CAST(stop - length(token) AS INTEGER) AS start, stop FROM s",
     "pack_core": f"SELECT target_lang, key, target, part_of_speech, frequency_rank, entry_id FROM {lexicon_sql('pack_entry')}",
     "pack_tail": f"SELECT target_lang, key, target, CAST(rn + 999999 AS INTEGER) AS frequency_rank FROM (SELECT target_lang, key, target, row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS rn FROM {lexicon_sql('tail_entry')} t WHERE NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.target_lang = t.target_lang AND lower(p.source) = t.key AND p.target IS NOT NULL)) WHERE rn <= 100000",
     "pack_lookup": f"SELECT w.target_lang, w.key, CASE WHEN c.entry_id IS NOT NULL THEN 'core' WHEN t.entry_id IS NOT NULL THEN 'tail' END AS shard, coalesce(c.target, t.target) AS target, coalesce(c.entry_id, t.entry_id) AS entry_id FROM (SELECT DISTINCT target_lang, lower(source) AS key FROM candidate WHERE target_lang IS NOT NULL AND source IS NOT NULL) w LEFT JOIN {lexicon_sql('pack_entry')} c ON c.target_lang = w.target_lang AND c.key = w.key LEFT JOIN {lexicon_sql('tail_entry')} t ON t.target_lang = w.target_lang AND t.key = w.key",
@@ -215,6 +220,7 @@ ORACLE = {
       e AS (SELECT *, CASE WHEN regexp_matches(q, '.[áéíóú][ns]es$') AND NOT regexp_matches(q, '[aeiouáéíóúAEIOUÁÉÍÓÚ][íú][ns]es$') THEN left(q, -4) || translate(substr(q, length(q) - 3, 1), 'áéíóú', 'aeiou') || right(q, 3) ELSE q END AS r FROM b) SELECT entry_id, p AS plural, CASE WHEN t NOT LIKE '% %' AND regexp_matches(t, '(sis|xis)$') THEN t ELSE r END AS repaired FROM e WHERE CASE WHEN t NOT LIKE '% %' AND regexp_matches(t, '(sis|xis)$') THEN t ELSE r END <> p""",
     "article_forms": rf"""WITH e AS (SELECT *, gender = 'feminine' AS fem, unnest(['definite', 'indefinite', 'none']) AS kind FROM {_NOUNS} WHERE plural IS NOT NULL AND gender IS NOT NULL), f AS (SELECT *, unnest([false, true]) AS many FROM e), g AS (SELECT *, CASE WHEN many THEN plural ELSE target END AS noun0 FROM f), h AS (SELECT *, CASE WHEN target_lang = 'de' THEN regexp_extract(noun0, '^\P{{L}}*', 0) || upper(substr(noun0, length(regexp_extract(noun0, '^\P{{L}}*', 0)) + 1, 1)) || substr(noun0, length(regexp_extract(noun0, '^\P{{L}}*', 0)) + 2) ELSE noun0 END AS noun FROM g),
       i AS (SELECT *, lower({_FIRST}) AS w FROM h), j AS (SELECT *, regexp_matches(w, '{_VOWEL}') AND NOT regexp_matches(w, '^i[aeiouàèéìíòóù]') AS vow, regexp_matches(w, '^(z|gn|pn|ps|x|y)|^s[^aeiouàèéìíòóùú]|^i[aeiouàèéìíòóù]') AS imp FROM i) SELECT entry_id, kind, many AS is_plural, ({_ARTICLE}) || noun AS display FROM j""",
+    "strip_generated": "SELECT target_lang, count(*) AS n_entries, CAST(sum(len(i)) AS BIGINT) AS n_ids FROM (SELECT target_lang, CASE WHEN len(source_ids) > 0 THEN source_ids ELSE ['curated-core'] END AS i FROM pack_entry) WHERE NOT (list_contains(i, 'freedict-es') AND NOT list_contains(i, 'curated-core')) GROUP BY target_lang",
     "source_id_counts": "SELECT source_id, count(*) AS n_entries FROM (SELECT unnest(source_ids) AS source_id FROM pack_entry) GROUP BY source_id",
     "pos_counts": "SELECT target_lang, part_of_speech, count(*) AS n_entries, count(*) FILTER (coalesce(en_zipf, 0) >= 5) AS n_common, max(frequency_rank) AS max_rank FROM pack_entry GROUP BY target_lang, part_of_speech",
 }

@@ -177,3 +177,49 @@ def test_weighted_sample_prefers_weight(spark):
     df = spark.range(2000).selectExpr("id", "if(id < 200, 100.0D, 1.0D) AS w")
     got = quality.weighted_sample(df, "id", F.col("w"), 200, "s")
     assert got.count() == 200 and got.where("id < 200").count() > 120 and math.isfinite(got.count())
+
+
+def test_api(spark):
+    from glossmill import api
+
+    schema = "entry_id int, target_lang string, source string, target string, part_of_speech string, confidence string, gender string, plural string, frequency_rank bigint"
+    core = spark.createDataFrame([(1, "es", "Dog", "perro", "noun", "high", "masculine", "perros", 2), (2, "es", "go", "ir", "verb", "low", None, None, 1), (3, "es", "by the way", "por cierto", "expression", "high", None, None, 3)], schema)
+    tail = spark.createDataFrame([(9, "es", "dog", "can", "noun", "low", "masculine", "canes", 1_000_001), (10, "es", "zax", "zax", "verb", "low", None, None, 1_000_002)], schema)
+    both, alone = api.Lexicon(core, tail), api.Lexicon(core)
+    assert {(r.key, r.shard) for r in both.entries().collect()} == {("dog", "core"), ("by the way", "core"), ("zax", "tail")}
+    assert alone.entries().count() == 2 and both.expressions().count() == 1
+    assert [r.key for r in both.top(1).collect()] == ["go"] and both.sample(5, "s").count() == 2
+    raw = spark.createDataFrame([("cat", "n", ["gato"], ["animal"], 0), ("dog", "n", ["perro"], ["animal"], 1)], "source string, raw_pos string, translations array<string>, definitions array<string>, source_order bigint")
+    pack = api.build_dictionary_pack(raw, core.withColumn("source", F.lower("source")), target_count=4)
+    assert pack.where("source = 'cat'").first().frequency_rank == 4
+    with pytest.raises(ValueError):
+        api.build_dictionary_pack(raw, core.withColumn("source", F.lower("source")), target_count=9)
+    senses = spark.createDataFrame([("de", "noun", "Hund", "masculine", "Hunde", "dog; hound", 0, False, 1), ("de", "verb", "laufen", None, None, "to run", 0, False, 2), ("de", "noun", "Ding", None, None, "thing", 0, False, 3)], "target_lang string, part_of_speech string, target string, gender string, plural string, gloss string, sense_index int, restricted boolean, cand_id int")
+    freq = spark.createDataFrame([("de", "Hund", 4.0)], "target_lang string, word string, zipf double")
+    english = spark.createDataFrame([("dog", 5.0), ("run", 6.0), ("hound", 0.0)], "word string, zipf double")
+    assert [(r.source, r.frequency_rank) for r in api.build_inverted_pack(senses, freq, english).orderBy("frequency_rank").collect()] == [("run", 1), ("dog", 2)]
+    cands = spark.createDataFrame([("es", "zax", "verb", "zaxar", "g [x] y", 1.0, 1), ("es", "zax", "verb", "zaxir", "g", 2.0, 2), ("es", "dog", "noun", "can", "g", 1.0, 3), ("es", "run", "verb", "correr", "g", 1.0, 4)], "target_lang string, source string, part_of_speech string, target string, gloss string, score double, cand_id int")
+    shard = api.build_tail_shard(cands, both.core, english).collect()
+    assert [(r.source, r.target, r.frequency_rank) for r in shard] == [("zax", "zaxir", 1_000_000)]
+
+
+def test_small_functions(spark):
+    assert column(spark, page.is_dark(F.col("c")), [("rgb(0, 0, 0)",), ("rgba(255,255,255,0.9)",), ("rgba(0,0,0,0.1)",), ("red",), (None,)], "c string") == [True, False, None, None, None]
+    assert column(spark, page.percent(F.col("x")), [(0.155,), (0.0,)], "x double") == ["16%", "0%"]
+    assert column(spark, page.label_text(", ", F.col("a"), F.col("b")), [("x", ""), (None, "y")], "a string, b string") == ["x", "y"]
+    raw = '{\n"entries": {\n "dog": {\n },\n "cat": {\n },\n "dog": {\n }}}'
+    assert [(r.key, r.lines) for r in quality.duplicate_raw_keys(spark.createDataFrame([(raw,)], "t string"), "t").collect()] == [("dog", [3, 7])]
+    nouns = spark.createDataFrame([("Hund", "noun", "m", "Hunde", 2), ("Hund", "noun", "f", "x", 3), ("gehen", "verb", None, None, 1)], "word string, pos string, gender string, plural string, o int")
+    assert [(r.word, r.plural) for r in dictionary.noun_metadata(nouns, "o").collect()] == [("Hund", "Hunde")]
+
+
+def test_merge_sink(spark, tmp_path):
+    from glossmill.streaming import state
+
+    path = str(tmp_path / "table")
+    write = state.merge_sink(path, ["k"])
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    write(frame(("a", 1), ("b", 1)), 0)
+    write(frame(("b", 2)), 1)
+    write(frame(("b", 9)), 1)  # a batch that was written is not written again
+    assert sorted(map(tuple, state.current(spark, path).collect())) == [("a", 1), ("b", 2)]
