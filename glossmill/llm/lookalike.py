@@ -108,7 +108,7 @@ class Transducer:
         self.form = lru_cache(1 << 16)(self._form)
 
     def _form(self, cluster: str) -> str:
-        return unicodedata.normalize("NFC", "".join(_expand(c) for c in unicodedata.normalize("NFD", cluster)))
+        return unicodedata.normalize("NFC", "".join(self.mapping.get(c, c) for c in unicodedata.normalize("NFD", cluster)))
 
     def __call__(self, text: str) -> str:
         if text.isascii():
