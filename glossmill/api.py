@@ -18,8 +18,8 @@ def build_dictionary_pack(raw: DataFrame, curated: DataFrame, target_count: int
     """
     have = curated.count()
     best = dictionary.best_by(dictionary.normalise(raw, **enrichment), ["source"], [F.col("rank_priority"), F.col("source_order")])
-    lang = curated.select("target_lang").distinct()
-    new = best.crossJoin(F.broadcast(lang.limit(1)))
+    language = curated.select("target_lang").first()
+    new = best.withColumn("target_lang", F.lit(language[0] if language else None))
     order = [F.col("rank_priority"), F.col("source_order"), F.col("source")]
     added = dictionary.append_ranks(curated, new, ["target_lang", "source"], "target_lang", order, max(0, target_count - have))
     if have + added.count() < target_count:
@@ -46,7 +46,7 @@ def build_tail_shard(candidates: DataFrame, core: DataFrame, english: DataFrame,
     best = dictionary.best_by(c, ["target_lang", "source"], [-F.col("score"), F.col("cand_id")])
     room = core.groupBy("target_lang").agg((F.lit(target_count) - F.count("*")).alias("room"))
     rn = F.row_number().over(Window.partitionBy("target_lang").orderBy(F.desc("en_zipf"), "source"))
-    ranked = best.withColumn("rn", rn).where(F.col("rn") <= target_count).join(F.broadcast(room), "target_lang", "left").where("rn <= coalesce(room, rn)")
+    ranked = best.withColumn("rn", rn).where(F.col("rn") <= target_count).join(room, "target_lang", "left").where("rn <= coalesce(room, rn)")
     return ranked.select("target_lang", "source", F.col("pos").alias("part_of_speech"), "target", dictionary.text.short_gloss(F.col("gloss"), F.col("source"), drop_bracketed=True).alias("source_gloss"), "en_zipf", (F.col("rn") + dictionary.RANK_OFFSET - 1).alias("frequency_rank"), F.lit("low").alias("confidence"))
 
 

@@ -131,8 +131,8 @@ def quiz_options(spark: SparkSession, folder: str) -> DataFrame:
     """The right lemma and three others of the user's pool, filled up from the most frequent Spanish keys."""
     pool = quiz_pool(spark, folder).select("user_id", "lemma", "place")
     fill = lexicon(table(spark, folder, "pack_entry")).where("target_lang = 'es' AND part_of_speech <> 'expression'").orderBy("frequency_rank", "entry_id").limit(3)
-    filled = fill.agg(F.array_sort(F.collect_list(F.struct("frequency_rank", "entry_id", "key"))).alias("__f"))
-    got = review.first_k_others(pool, "user_id", "lemma", "place").crossJoin(F.broadcast(filled))
+    filled = fill.groupBy(F.lit(0).alias("__all")).agg(F.array_sort(F.collect_list(F.struct("frequency_rank", "entry_id", "key"))).alias("__f"))
+    got = review.first_k_others(pool, "user_id", "lemma", "place").withColumn("__all", F.lit(0)).join(filled, "__all")
     both = F.array_distinct(F.concat(F.array("lemma"), "others", F.transform("__f", lambda x: x["key"])))
     return got.select("user_id", "lemma", F.array_join(F.slice(both, 1, 4), "|").alias("options"))
 
