@@ -107,6 +107,23 @@ def select_ranges(ranges: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.explode(F.transform(kept, lambda i: F.get("__r", i))).alias("__x")).select(key, "__x.start", "__x.end", (-F.col("__x.__p")).alias("priority"), *[F.col(f"__x.{c}").alias(c) for c in payload])
 
 
+def surfaces(entries: DataFrame) -> DataFrame:
+    """lemma, kind and each lower-case ``surface`` under which a text may hold it: as it is, plurals of nouns, forms of verbs.
+
+    The rules for singulars and infinitives are turned round on the lexicon, which is far smaller than the texts, and
+    each surface is put through the rules again, so that a surface means a lemma exactly where the rules say so.
+    """
+    k = F.col("lemma")
+    cut = lambda n: grammar.drop_last(k, n)
+    add = lambda *ends: [F.concat(k, F.lit(e)) for e in ends]
+    irregular = F.filter(F.array(*[F.lit(w) for w in grammar.IRREGULAR]), lambda w: grammar.verb_lemma(w) == k)
+    noun = F.array(*add("s", "es"), F.concat(cut(1), F.lit("ies")), F.concat(cut(2), F.lit("ves")))
+    verb = F.concat(F.array(*add("s", "ing", "ed"), F.concat(cut(1), F.lit("ies")), F.concat(k, F.right(k, F.lit(1)), F.lit("ing"))), irregular)
+    made = F.filter(noun, lambda w: (F.col("kind") == "noun") & (grammar.singular(w) == k))
+    formed = F.filter(verb, lambda w: (F.col("kind") == "verb") & (grammar.verb_lemma(w) == k))
+    return entries.select("lemma", "kind", F.explode(F.array_distinct(F.concat(F.array(k), made, formed))).alias("surface"))
+
+
 def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
     """First replaceable occurrence of each lemma in a text: ``key``, lemma, start, end, kind.
 
@@ -118,13 +135,10 @@ def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key:
     good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level))
     firsts = accepted.join(good.where("n_words > 1").select(F.col("key").alias("phrase")), "phrase").groupBy(key, "phrase").agg(F.min(F.struct("start", "end")).alias("__f"))
     firsts = firsts.select(key, F.col("phrase").alias("lemma"), "__f.start", "__f.end", F.lit("expression").alias("kind"))
-    words = tokens.where(~F.col("token").rlike("['-]")).select(key, "start", "end", F.lower("token").alias("__low")).where(~F.col("__low").isin(grammar.PRONOUNS))
-    low = F.col("__low")  # forms are made once for each word of the corpus, not for each time it stands there
-    need = lambda lemma, pos: F.struct(lemma.alias("lemma"), F.lit(pos).alias("need"))
-    forms = words.select("__low").distinct().select("__low", F.explode(F.array(need(low, ""), need(grammar.singular(low), "noun"), need(grammar.verb_lemma(low), "verb"))).alias("__v"))
-    hits = forms.join(good.where("n_words = 1").select(F.col("key").alias("__k"), F.col("part_of_speech").alias("kind")), F.col("__v.lemma") == F.col("__k"))
-    hits = hits.where((F.col("__v.need") == "") | (F.col("__v.need") == F.col("kind"))).where(~F.col("__k").isin(grammar.PRONOUNS)).select("__low", F.col("__k").alias("lemma"), "kind").distinct()
-    met = words.join(hits, "__low").select(key, "lemma", "start", "end", "kind")
+    # the gap is asked for so that these tokens and those of the phrases are one shuffle, which Spark then reuses
+    words = tokens.where(F.col("gap").isNotNull() & ~F.col("token").rlike("['-]")).select(key, "start", "end", F.lower("token").alias("__low")).where(~F.col("__low").isin(grammar.PRONOUNS))
+    hits = surfaces(good.where("n_words = 1").select(F.col("key").alias("lemma"), F.col("part_of_speech").alias("kind"))).where(~F.col("lemma").isin(grammar.PRONOUNS))
+    met = words.join(hits, F.col("__low") == F.col("surface")).select(key, "lemma", "start", "end", "kind")
     taken = firsts.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
     free = met.join(taken, (met[key] == taken[key]) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), "left_anti")
     single = free.groupBy(key, "lemma").agg(F.min(F.struct("start", "end", "kind")).alias("__f")).select(key, "lemma", "__f.start", "__f.end", "__f.kind")
