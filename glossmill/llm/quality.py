@@ -107,7 +107,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "__foreign": F.octet_length(t) - F.length(t),
         "__units": F.regexp_count(t, F.lit(r"[;|•·│]")),
         "__marks": F.regexp_count(t, F.lit(r"[,;|•·│/]")),
-        "__breaks": F.regexp_count(t, F.lit(r"[a-z][A-Z](?![a-z]{3})")),
+        "__breaks": F.regexp_count(t, F.lit(r"[a-z][A-Z]")),
         "__n_lines": F.size(lines),
         "__ends": F.size(F.filter(lines, lambda x: x.rlike(_END))),
         "__stops": F.size(F.filter(lines, lambda x: x.rlike(_SENTENCE_END))),
@@ -152,9 +152,12 @@ def rules() -> list[dict]:
     return json.loads(resources.files(__package__).joinpath("quality_rules.json").read_text())["rules"]
 
 
-def kind_case(learned: list[dict] | None = None) -> str:
-    """The rule list as a SQL CASE over the statistics; the first rule that holds gives the kind, else 'prose'."""
-    parts = ["WHEN " + " AND ".join(f"{s} {op} {x!r}D" for s, op, x in r["when"]) + f" THEN '{r['kind']}'" for r in (rules() if learned is None else learned)]
+def kind_case(learned: list[dict] | None = None, suffix: str = "D") -> str:
+    """The rule list as a SQL CASE over the statistics; the first rule that holds gives the kind, else 'prose'.
+
+    ``suffix`` marks thresholds as doubles where the dialect has a mark for it.
+    """
+    parts = ["WHEN " + " AND ".join(f"{s} {op} {x!r}{suffix}" for s, op, x in r["when"]) + f" THEN '{r['kind']}'" for r in (rules() if learned is None else learned)]
     return "CASE WHEN n_chars = 0 THEN NULL " + " ".join(parts) + " ELSE 'prose' END"
 
 

@@ -90,11 +90,27 @@ _RECORDS = f"SELECT entry_id, target_lang, least(a, b) AS x, greatest(a, b) AS y
 _LABEL = lambda c: rf"lower(regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
 _CATEGORISED = f"SELECT t.cat_id, p.entry_id FROM pack_entry p JOIN sample_target t ON {_LABEL('p.confidence')} = {_LABEL('t.confidence')} AND {_LABEL('p.part_of_speech')} = {_LABEL('t.part_of_speech')} AND coalesce(p.en_zipf, 0) >= t.zipf_lo AND coalesce(p.en_zipf, 0) < t.zipf_hi"
 
+_END = r"""[.!?…:;,]["''»”“’)\]]*\s*$"""
+_COLUMNS = r"regexp_matches(x, '^[^,;]*[^\s,;][,;][^\s,;][^,;]*[,;]([^ ]|$)') OR regexp_matches(x, '[^\s.!?,] {2,}[^\s,]\S*(?: \S+){0,6} {2,}[^\s,]') OR (regexp_matches(x, '[|│]|\+-|\+=') AND regexp_matches(x, '[|│][^|│]*[|│][^|│]*[|│]|^\s*[+|][-=+|:]{6,}')) OR regexp_matches(x, '\t[^\t]*\t')"
+_AMONG = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words))) + ")"
+_PER = lambda a, b: f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0::DOUBLE END"
+_STATISTICS = rf"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?|[\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM documents),
+ b AS (SELECT doc_id, t, list_filter(string_split(lower(t), chr(10)), lambda x: regexp_matches(x, '\S')) AS ln, regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}]+') AS w FROM a),
+ c AS (SELECT doc_id, t, ln, w, list_filter(ln, lambda x: {_COLUMNS}) AS cl, list_filter(ln, lambda x: len(regexp_split_to_array(x, '[^\p{{L}}\p{{M}}]+')) >= 5 AND len(list_filter(regexp_split_to_array(x, '[^\p{{L}}\p{{M}}]+'), lambda y: y IN {_AMONG(quality.CLAUSE)})) > 0) AS se FROM b),
+ d AS (SELECT doc_id, length(t) AS chars, len(w) AS nw, length(array_to_string(w, '')) AS inw, length(regexp_replace(t, '\s+', '', 'g')) AS ink, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dig, length(regexp_replace(t, '[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+', '', 'g')) AS vow, strlen(t) - length(t) AS fo, len(ln) AS nl,
+  len(list_filter(ln, lambda x: regexp_matches(x, '{_END}'))) AS en, len(list_filter(ln, lambda x: regexp_matches(x, '{_END.replace(":;,", "")}'))) AS st, len(list_filter(w, lambda x: x IN {_AMONG(quality.CLAUSE)})) AS cla, len(list_filter(w, lambda x: x IN {_AMONG(quality.LINK)})) AS lin, length(array_to_string(se, '')) AS sec, length(array_to_string(cl, '')) AS coc, length(array_to_string(ln, '')) AS lic, len(cl) AS nc,
+  len(regexp_extract_all(t, '[;|•·│]')) AS un, len(regexp_extract_all(t, '[,;|•·│/]')) AS ma, len(regexp_extract_all(t, '[a-z][A-Z]')) AS br, len(list_distinct(w)) AS di, length(t) - length(regexp_replace(t, '<[^<>\n]*>', '', 'g')) AS ta FROM c),
+ s AS (SELECT doc_id, CAST(CASE WHEN ink > 0 THEN chars ELSE 0 END AS DOUBLE) AS n_chars, CAST(nw AS DOUBLE) AS n_words, {_PER("inw", "nw")} AS mean_word_len, {_PER("(ink - inw - dig)", "ink")} AS symbol_ratio, {_PER("dig", "ink")} AS digit_ratio, {_PER("vow", "inw")} AS vowel_ratio, {_PER("fo", "ink")} AS foreign_ratio, {_PER("en", "nl")} AS end_punct_share, {_PER("st", "nl")} AS sentence_end_share, {_PER("(cla + lin)", "nw")} AS common_share, {_PER("cla", "nw")} AS clause_share, {_PER("lin", "nw")} AS link_share,
+  {_PER("sec", "lic")} AS clause_line_share, {_PER("coc", "lic")} AS column_share, CAST(nc AS DOUBLE) AS column_lines, {_PER("nw", "nl")} AS line_words, {_PER("nw", "nl + un")} AS unit_words, {_PER("ma", "nw")} AS mark_words, {_PER("br", "nw")} AS case_breaks, CAST(di AS DOUBLE) AS distinct_words, {_PER("di", "nw")} AS distinct_share, {_PER("ta", "chars")} AS markup_share FROM d),
+ k AS (SELECT *, {quality.kind_case(suffix="")} AS kind FROM s)"""
+
 ORACLE: dict[str, str] = {
     "p1_sample": f"SELECT entry_id, target_lang, source, batch_no, {_U1} AS unit_key FROM pack_entry WHERE {_U1} < {RATE}",
     "p1_batches": f"SELECT batch_no, count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM pack_entry WHERE {_U1} < {RATE} GROUP BY batch_no",
     "p3_found": f"SELECT first_id, entry_id AS copy_id FROM (SELECT entry_id, min(entry_id) OVER (PARTITION BY target_lang, x, y) AS first_id FROM ({_RECORDS})) WHERE entry_id <> first_id",
     "p3_records": f"SELECT min(entry_id) AS first_id, count(*) AS copies FROM ({_RECORDS}) GROUP BY target_lang, x, y",
     "p4_found": "SELECT target_lang, source, rank_no, cand_id FROM (SELECT target_lang, source, cand_id, CAST(row_number() OVER (PARTITION BY target_lang, source ORDER BY CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE score END DESC, target, cand_id) AS INTEGER) AS rank_no FROM candidate WHERE target_lang IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) WHERE rank_no <= 3",
+    "p9_statistics": f"{_STATISTICS} SELECT * FROM k",
+    "p9_found": f"{_STATISTICS} SELECT doc_id, kind FROM k WHERE kind <> 'prose'",
     "p5_found": f"WITH n AS (SELECT cat_id, count(*) AS n FROM ({_CATEGORISED}) GROUP BY cat_id) SELECT t.cat_id FROM sample_target t LEFT JOIN n USING (cat_id) WHERE coalesce(n.n, 0) < greatest(CAST(round(t.sample_rows * t.target_share) AS BIGINT), t.min_rows)",
 }
