@@ -39,8 +39,8 @@ def sm2_stream(answers: DataFrame) -> DataFrame:
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         *now, n = state.get if state.exists else (0, review.EASE, 0, "", 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for right in rows["right"]:
+        rows = sorted((x for f in frames for x in zip(f["ts"].tolist(), f["event_id"].tolist(), f["right"].tolist())), key=lambda x: x[:2])
+        for *_, right in rows:
             now, n = review.step(tuple(now), bool(right)), n + 1
         state.update((*now, n))
         yield pd.DataFrame([(*key, *now, n)], columns=["user_id", "lemma", "srs_interval", "srs_ease", "srs_repetitions", "history", "n_answers"])
