@@ -16,6 +16,8 @@ MEDIUM_OK_ZIPF = 5.0
 CEILING = {"beginner": 7.5, "intermediate": 6.0, "advanced": 5.0}
 ALPHA, BETA, GAMMA, MAX_RANK, DAY_MS, MAINTENANCE = 0.4, 0.3, 0.3, 10_000, 86_400_000, 0.1
 MIN_NODE_WORDS, MIN_PAGE_WORDS = 3, 100
+#: Words of a phrase that are looked up at once.
+HEAD = 3
 
 
 def replaceable(eligible: Column, confidence: Column, zipf: Column) -> Column:
@@ -47,22 +49,28 @@ def score(rank: Column, seen: Column, last_seen_ms: Column, interval: Column, kn
     return F.when(known, 0.0).when(graduated, raw * MAINTENANCE).otherwise(raw)
 
 
-def phrase_matches(tokens: DataFrame, phrases: DataFrame, key: str, most: int = 3) -> DataFrame:
+def phrase_matches(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """Every phrase of the lexicon in the texts: ``key``, start, end, phrase, n_words; words apart by white space only.
 
-    ``tokens``: key, token_no, token, start, end, gap. ``phrases``: phrase, n_words (2 to ``most``). Each token looks
-    at the next words of its text through one window, so the tokens are shuffled once, and meets the lexicon in one
-    equi-join.
+    ``tokens``: key, token_no, token, start, end, gap. ``phrases``: phrase, n_words (2 or more, without bound). Each token
+    looks at the next words of its text through one window and meets the first HEAD words of a phrase in one equi-join;
+    the words of longer phrases beyond those are each compared with the token at their place.
     """
     along = Window.partitionBy(key).orderBy("token_no")
     tokens = tokens.select(key, "token_no", F.lower("token").alias("__low"), "start", "end", F.col("gap").rlike(f"^{text.SPACE}+$").alias("__apart"))
     grown, words, ok = [], F.col("__low"), F.lit(True)
-    for n in range(2, most + 1):
+    for n in range(2, HEAD + 1):
         words = F.concat_ws(" ", words, F.lead("__low", n - 1).over(along))
         ok = ok & F.lead("__apart", n - 1).over(along)
-        grown.append(F.when(ok, F.struct(words.alias("phrase"), F.lit(n).alias("n_words"), F.lead("end", n - 1).over(along).alias("end"))))
-    each = tokens.select(key, "start", F.array(*grown).alias("__g")).select(key, "start", F.explode("__g").alias("__p")).where("__p IS NOT NULL")
-    return each.select(key, "start", "__p.end", "__p.phrase", "__p.n_words").join(phrases.select("phrase", "n_words"), ["phrase", "n_words"]).select(key, "start", "end", "phrase", "n_words")
+        grown.append(F.when(ok, F.struct(words.alias("__head"), F.lit(n).alias("__n"), F.lead("end", n - 1).over(along).alias("end"))))
+    each = tokens.select(key, "token_no", "start", F.array(*grown).alias("__g")).select(key, "token_no", "start", F.explode("__g").alias("__p")).where("__p IS NOT NULL")
+    heads = phrases.select("phrase", "n_words", F.substring_index("phrase", " ", HEAD).alias("__head"), F.least("n_words", F.lit(HEAD)).alias("__n"))
+    met = each.select(key, "token_no", "start", "__p.*").join(heads, ["__head", "__n"])
+    rest = F.slice(F.split("phrase", " "), HEAD + 1, F.greatest(F.col("n_words") - HEAD, F.lit(0)))
+    asked = met.select(key, "token_no", "start", "end", "phrase", "n_words", F.posexplode_outer(rest).alias("__i", "__low")).withColumn("token_no", F.col("token_no") + HEAD + F.col("__i"))
+    there = tokens.where("__apart").select(key, "token_no", "__low", F.col("end").alias("__end"))
+    found = asked.join(there, [key, "token_no", "__low"], "left").groupBy(key, "start", "end", "phrase", "n_words").agg(F.count("__end").alias("__same"), F.max("__end").alias("__end"))
+    return found.where(F.col("__same") == F.greatest(F.col("n_words") - HEAD, F.lit(0))).select(key, "start", F.coalesce("__end", "end").alias("end"), "phrase", "n_words")
 
 
 def greedy_matches(matches: DataFrame, key: str) -> DataFrame:
