@@ -132,6 +132,14 @@ def surfaces(entries: DataFrame) -> DataFrame:
     return entries.select("lemma", "kind", F.explode(F.array_distinct(F.concat(F.array(k), made, formed))).alias("surface"))
 
 
+def word_hits(tokens: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """Tokens with each ``lemma`` and ``kind`` they can stand for, and the ``surface`` met; pronouns and compounds are left out."""
+    # the gap is asked for so that these tokens and those of the phrases are one shuffle, which Spark then reuses
+    words = tokens.where(F.col("gap").isNotNull() & ~F.col("token").rlike("['-]")).withColumn("__low", F.lower("token")).where(~F.col("__low").isin(grammar.PRONOUNS))
+    hits = surfaces(entries.where("n_words = 1").select(F.col("key").alias("lemma"), F.col("part_of_speech").alias("kind"))).where(~F.col("lemma").isin(grammar.PRONOUNS))
+    return words.join(hits, F.col("__low") == F.col("surface")).drop("__low")
+
+
 def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
     """First replaceable occurrence of each lemma in a text: ``key``, lemma, start, end, kind.
 
@@ -143,10 +151,7 @@ def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key:
     good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level))
     firsts = accepted.join(good.where("n_words > 1").select(F.col("key").alias("phrase")), "phrase").groupBy(key, "phrase").agg(F.min(F.struct("start", "end")).alias("__f"))
     firsts = firsts.select(key, F.col("phrase").alias("lemma"), "__f.start", "__f.end", F.lit("expression").alias("kind"))
-    # the gap is asked for so that these tokens and those of the phrases are one shuffle, which Spark then reuses
-    words = tokens.where(F.col("gap").isNotNull() & ~F.col("token").rlike("['-]")).select(key, "start", "end", F.lower("token").alias("__low")).where(~F.col("__low").isin(grammar.PRONOUNS))
-    hits = surfaces(good.where("n_words = 1").select(F.col("key").alias("lemma"), F.col("part_of_speech").alias("kind"))).where(~F.col("lemma").isin(grammar.PRONOUNS))
-    met = words.join(hits, F.col("__low") == F.col("surface")).select(key, "lemma", "start", "end", "kind")
+    met = word_hits(tokens, good, key).select(key, "lemma", "start", "end", "kind")
     taken = firsts.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
     free = met.join(taken, (met[key] == taken[key]) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), "left_anti")
     single = free.groupBy(key, "lemma").agg(F.min(F.struct("start", "end", "kind")).alias("__f")).select(key, "lemma", "__f.start", "__f.end", "__f.kind")
