@@ -17,6 +17,11 @@ def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def language(tag: Column) -> Column:
+    """Primary subtag of a language tag, in lower case: 'en' of ' en', 'EN' and 'en-XX'. Null and 'und' (not told) stay, and are no language."""
+    return F.split(F.lower(trim_all(tag)), "[-_]")[0]
+
+
 def clean_text(x: Column) -> Column:
     """Named entities resolved, runs of white space one space, ends trimmed. Null stays null."""
     for entity, char in _ENTITIES:

@@ -14,7 +14,8 @@ _RAW_POS = {"noun": "n", "verb": "v", "adjective": "adj", "adverb": "adv", "expr
 
 
 def word_zipf(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    """Of the documents told to be English in any writing of the tag; null and 'und' are not told and do not count."""
+    docs = table(spark, folder, "documents").where(text.language(F.col("lang")) == "en")
     return d.word_frequency(docs, [], "text")
 
 
