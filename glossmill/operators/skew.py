@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Upper bound of the broadcast list of hot groups, whatever the data; further hot groups take the plain shuffle.
-MAX_HOT = 1024
+#: A group is split when it holds more than this part of all rows, so that fewer groups than its inverse ever are.
+PARTS = 1 << 16
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], hot_rows: int = 100_000, salts: int = 32) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` on ``keys``.
+def hot_groups(groups: DataFrame, keys: list[str], size: str, hot_rows: int = 100_000) -> DataFrame:
+    """``__h`` (hash of the keys) and ``__salts`` (tasks to spread over) of the groups that are large.
 
-    ``groups`` has few rows for each key and the group's row count in ``size``. Groups of at least ``hot_rows``
-    rows (the ``MAX_HOT`` largest) are spread over ``salts`` tasks by a hash of ``spread``, their group row being
-    repeated once for each salt; all else is a plain shuffle join. Null keys match nothing. No row is dropped.
-    The list of hot keys is the only broadcast and has ``MAX_HOT`` rows at most.
+    Large is at least ``hot_rows`` rows and at least one in PARTS of all rows: no more than PARTS groups can be, so the
+    list has at most PARTS rows of twelve bytes, however many and however long the keys are. The number of salts grows
+    with the group, so that no salted part is larger than that bound. Keys of equal hash are salted alike, which
+    changes no result.
     """
-    hot = groups.where(F.col(size) >= hot_rows).groupBy(*keys).agg(F.max(size).alias("__n")).orderBy(F.desc("__n"), *keys).limit(MAX_HOT).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
-    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    floor = F.greatest(F.lit(hot_rows), F.ceil(groups.agg(F.sum(size)).scalar() / PARTS))
+    large = groups.select(F.xxhash64(*keys).alias("__h"), F.col(size).alias("__n"), floor.alias("__floor")).where("__n >= __floor")
+    return large.groupBy("__h").agg(F.max(F.ceil(F.col("__n") / F.col("__floor")) + 1).cast("int").alias("__salts"))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Inner join on ``keys``; rows of hot groups (see hot_groups) are spread by a hash of ``spread``.
+
+    The group's row is repeated once for each salt. Null keys match nothing. No row is dropped. The list of hot groups
+    is the only broadcast and is bounded. The keys must have the same types on both sides.
+    """
+    hot = F.broadcast(hot.select(F.col("__h").alias("__hot_h"), F.col("__salts")))
 
     def marked(df: DataFrame) -> DataFrame:
-        on = None
-        for k in keys:
-            c = df[k] == hot[f"__h_{k}"]
-            on = c if on is None else on & c
-        return df.join(hot, on, "left").drop(*[f"__h_{k}" for k in keys])
-
-    left = marked(rows).withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot")
-    right = marked(groups).withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot", size)
+        return df.join(hot, F.xxhash64(*[df[k] for k in keys]) == hot["__hot_h"], "left").drop("__hot_h")
+
+    salt = F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("__salts").cast("bigint")).cast("int")).otherwise(F.lit(0))
+    left = marked(rows).withColumn("__salt", salt).drop("__salts")
+    right = marked(groups).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], hot_rows: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (few rows for each key, its row count in ``size``), salted where a group is large."""
+    return salted_join(rows, groups.drop(size), keys, hot_groups(groups, keys, size, hot_rows), spread)

@@ -103,7 +103,7 @@ def test_density(spark):
 def test_skewed_join_keeps_all(spark):
     rows = spark.range(5000).selectExpr("id", "if(id < 4000, 'hot', concat('k', id % 7)) AS k")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    got = join_groups(rows, groups, ["k"], "n", ["id"], hot_rows=1000, salts=8)
+    got = join_groups(rows, groups, ["k"], "n", ["id"], hot_rows=1000)
     assert got.count() == 5000 and got.where("k = 'hot'").select("first").distinct().count() == 1
 
 

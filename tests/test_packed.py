@@ -1,12 +1,14 @@
-"""Packed fields: rules on small texts, a brute-force splitter, odd tables."""
+"""Packed fields: rules on small texts, a brute-force splitter, what training learns, odd tables."""
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glossmill.operators.packed import BREAKS, CELLS, LISTED, Lattice, Model, cells, split_packed
+from glossmill.operators import packed
+from glossmill.operators.packed import BREAKS, CLASSES, LEARNED, LISTED, N_CLASSES, N_LISTED, Model, fit, forward_backward, split, split_packed, value_hash, viterbi
 
 CASES = [
     ("dog; hound", ["dog", "hound"]),
@@ -24,11 +26,31 @@ CASES = [
     ("order, ordinary", ["order", "ordinary"]),
     ("a、b；c，d•e·f", list("abcdef")),
 ]
+#: As training leaves it on a column whose values recur.
+TRAINED = Model([0.001] * N_LISTED + [0.5] * len(LEARNED), 0.3, 1e6)
 
 
 @pytest.mark.parametrize("text,values", CASES)
 def test_rules(text, values):
-    assert Lattice(Model()).viterbi(text) == values
+    assert split(text, TRAINED) == values
+
+
+def test_rules_after_training(spark):
+    """The model that a small column of recurring values teaches gives the same values."""
+    words = [f"w{i}" for i in range(40)]
+    column = [(f"{a}, {b}" if i % 2 else f"{a}; {b}",) for i, a in enumerate(words) for b in words[i % 7 :: 7]] + [(w,) for w in words] + [(t,) for t, _ in CASES]
+    df = spark.createDataFrame(column, "t string")
+    model, _ = fit(df, "t")
+    assert max(model.literal[:N_LISTED]) < 0.2 and model.literal[N_LISTED:] == [0.5] * len(LEARNED)
+    got = {}
+    for r in split_packed(df, "t", ["t"]).collect():
+        got.setdefault(r.t, {})[r.value_no] = r.value_text
+    assert all([got[t][n] for n in sorted(got[t])] == v for t, v in CASES)
+
+
+def test_untrained_model_is_worse():
+    """At even odds two values that are known nowhere stay one; training is what parts them."""
+    assert split("dog; hound", Model()) == ["dog; hound"]
 
 
 def brute(t):
@@ -48,23 +70,67 @@ def brute(t):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab1 ,;/|\n-or", max_size=40))
 def test_against_brute_force(t):
-    assert Lattice(Model()).viterbi(t) == brute(t)
+    assert split(t, TRAINED) == brute(t)
+
+
+def readings(scores, keep, cut, new):
+    """Every reading of a few atoms: (weight, places that separate)."""
+    n = len(scores)
+    for bits in range(1 << (n - 1)):
+        cuts = [bool(bits >> k & 1) for k in range(n - 1)]
+        weight, first = 1.0, 0
+        for k in range(n):
+            if k == n - 1 or cuts[k]:
+                weight *= np.exp(scores[k]) if first == k else new
+                first = k + 1
+            if k < n - 1:
+                weight *= np.exp(cut[k] if cuts[k] else keep[k])
+        yield weight, cuts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(-3, 6), min_size=1, max_size=6), st.floats(0.05, 0.9), st.data())
+def test_lattice_against_all_readings(scores, new, data):
+    model = Model(data.draw(st.lists(st.floats(0.05, 0.95), min_size=N_CLASSES, max_size=N_CLASSES)), new)
+    classes = np.array([data.draw(st.lists(st.integers(0, N_CLASSES - 1), min_size=len(scores) - 1, max_size=len(scores) - 1))], int).reshape(1, -1)
+    scores = np.logaddexp(np.log(new), np.array([scores]))
+    keep, cut = model.marks(classes)
+    every = list(readings(scores[0], keep[0], cut[0], new))
+    total = sum(w for w, _ in every)
+    own, cuts, fresh = forward_backward(model, scores, classes)
+    for k in range(scores.shape[1]):
+        alone = sum(w for w, c in every if (k == 0 or c[k - 1]) and (k == len(c) or c[k]))
+        assert own[0, k] == pytest.approx(alone / total)
+    for k in range(scores.shape[1] - 1):
+        assert cuts[0, k] == pytest.approx(sum(w for w, c in every if c[k]) / total)
+    runs = sum(w * sum(1 for i, x in enumerate([*c, True]) if x and i and not c[i - 1]) for w, c in every) / total
+    assert fresh[0] == pytest.approx((own * new / np.exp(scores)).sum() + runs)
+    best = viterbi(model, scores, classes)[0].tolist()
+    assert dict((tuple(c), w) for w, c in every)[tuple(best)] == pytest.approx(max(w for w, _ in every))
 
 
 def test_learned_marks():
     """A mark of unknown role separates where its sides are known values, and is kept where they are not."""
-    m = Model()
-    for v in ("cat", "dog"):
-        for c in cells(v):
-            m.counts[c] = 1e6
-    m.total = 2e6
-    assert Lattice(m).viterbi("cat + dog") == ["cat", "dog"]
-    assert Lattice(m).viterbi("xqv + zzw; cat") == ["xqv + zzw", "cat"]
+    counts = {"cat": 1e5, "dog": 1e5}
+    assert split("cat + dog", TRAINED, counts) == ["cat", "dog"]
+    assert split("xqv + zzw; cat", TRAINED, counts) == ["xqv + zzw", "cat"]
+    assert split("a + b = c & d ~ e; cat", TRAINED, counts) == ["a + b = c & d ~ e", "cat"]
+
+
+def test_literal_marks_are_learned(spark):
+    """Of marks alone, one that joins what recurs only together stays literal; one between recurring values separates."""
+    joined = [(f"n{i} & m{i}",) for i in range(60)]
+    parted = [(f"v{i} = v{(i * 7 + k) % 60}",) for i in range(60) for k in range(4)] + [(f"v{i}",) for i in range(60)]
+    df = spark.createDataFrame(joined + parted, "t string")
+    model, _ = fit(df, "t")
+    assert model.literal[CLASSES["&"]] > 0.5 > 0.2 > model.literal[CLASSES["="]]
+    got = {r.t for r in split_packed(df, "t", ["t"]).collect()}
+    assert not got & {t for (t,) in joined} and got == {t for (t,) in parted if "=" in t}
 
 
 def test_long_text():
     t = "; ".join(f"v{i}" for i in range(50_000)) + "(" * 20_000
-    assert len(Lattice(Model()).viterbi(t)) == 50_000
+    assert len(split(t, TRAINED)) == 50_000
 
 
 def test_tables(spark):
@@ -75,6 +141,23 @@ def test_tables(spark):
     assert split_packed(df.where("false"), "text", ["id"]).count() == 0
 
 
+def test_given_model(spark):
+    """A model fitted elsewhere, with its counts, reads other texts; literal marks inside a value of any length stay."""
+    taught = spark.createDataFrame([("cat",), ("dog",), ("cat; dog",), ("dog, cat",), ("cat / dog",)], "t string")
+    other = spark.createDataFrame([(1, "cat + dog"), (2, "x1 + x2 + x3 + x4 + x5; y"), (3, '"q; r" | s')], "id int, t string")
+    got = {}
+    for r in split_packed(other, "t", ["id"], model=fit(taught, "t")).collect():
+        got.setdefault(r.id, []).append((r.value_no, r.value_text))
+    assert {k: [v for _, v in sorted(x)] for k, x in got.items()} == {1: ["cat", "dog"], 2: ["x1 + x2 + x3 + x4 + x5", "y"], 3: ["q; r", "s"]}
+
+
+def test_hot_text(spark, monkeypatch):
+    """A text with nearly all rows is spread; every row gets its values."""
+    monkeypatch.setattr(packed, "hot_groups", lambda groups, keys, size, real=packed.hot_groups: real(groups, keys, size, hot_rows=10))
+    df = spark.range(500).selectExpr("id", "if(id < 450, 'cat; dog', concat('w', id % 5, ', cat')) AS t")
+    got = split_packed(df, "t", ["id"])
+    assert got.count() == 1000 and got.where("value_no = 1").select("id").distinct().count() == 500
+
+
 def test_hash_is_sparks(spark):
-    h = spark.sql("SELECT pmod(xxhash64('größe'), 65536) a, 65536 + pmod(shiftrightunsigned(xxhash64('größe'), 32), 65536) b").first()
-    assert cells("größe") == (h.a, h.b) and CELLS == 65536
+    assert value_hash("größe") == spark.sql("SELECT xxhash64('größe') h").first().h
