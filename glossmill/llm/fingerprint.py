@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.operators.lineage import written
 from glossmill.operators.skew import join_groups
 
 #: White space and punctuation of any kind; neither counts.
@@ -45,20 +46,30 @@ def _same(a: Column, b: Column, exact: int, folded: int) -> Column:
     return ok & F.forall(f, lambda v: times(f, v) == times(g, v))
 
 
-def _forms(records: DataFrame, exact: int, folded: int) -> DataFrame:
-    """Each distinct normal form with the first id and number of rows of its record.
+def _names(exact: int, folded: int) -> list[str]:
+    return [f"__e{i}" for i in range(exact)] + [f"__f{i}" for i in range(folded)]
 
-    Rows of equal form collapse before and after the first shuffle, so a record with a third of all rows is one row
-    here. Forms of one fingerprint are the orders of its fields (and, should two records collide in 128 bits, those of
-    both): a handful, compared with each other field by field.
+
+def _groups(records: DataFrame, exact: int, folded: int) -> DataFrame:
+    """Rows by fingerprint: first id, number of rows, and ``__same``, whether all of them hold the same fields.
+
+    One grouping on the fingerprint. Rows of equal form collapse before the shuffle, so that a record with a third of all
+    rows sends one row from each task. The distinct forms of a fingerprint are the orders of its fields, a handful; each
+    is compared with the first, field by field and without sorting.
     """
-    fields = [f"__e{i}" for i in range(exact)] + [f"__f{i}" for i in range(folded)]
-    forms = records.groupBy("__p", "__q", *fields).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    near = forms.groupBy("__p", "__q").agg(F.collect_list(F.struct("__first", "__n", *fields)).alias("__all"))
-    form = near.select("__p", "__q", "__all", F.explode("__all").alias("__x"))
-    mine = F.filter("__all", lambda y: _same(F.col("__x"), y, exact, folded))
-    out = form.select("__p", "__q", *[F.col("__x")[c].alias(c) for c in fields], F.col("__x")["__first"].alias("__own"), mine.alias("__mine"))
-    return out.select("__p", "__q", *fields, "__own", F.array_min(F.transform("__mine", lambda y: y["__first"])).alias("first_id"), F.aggregate("__mine", F.lit(0).cast("bigint"), lambda s, y: s + y["__n"]).alias("copies"))
+    forms = F.collect_set(F.struct(*_names(exact, folded)))
+    got = records.groupBy("__p", "__q").agg(F.min("__id").alias("first_id"), F.count("*").alias("copies"), forms.alias("__all"))
+    same = F.forall("__all", lambda x: _same(F.get("__all", F.lit(0)), x, exact, folded))
+    return got.select("__p", "__q", "first_id", "copies", same.alias("__same"))
+
+
+def _parted(records: DataFrame, collided: DataFrame, exact: int, folded: int) -> DataFrame:
+    """The forms of fingerprints that different records share, each with the first id and number of rows of its record."""
+    fields = _names(exact, folded)
+    forms = records.join(collided.select("__p", "__q"), ["__p", "__q"]).groupBy("__p", "__q", *fields).agg(F.min("__id").alias("__own"), F.count("*").alias("__n"))
+    met = forms.join(forms.select("__p", "__q", F.struct(*fields).alias("__y"), F.col("__own").alias("__o"), F.col("__n").alias("__m")), ["__p", "__q"])
+    met = met.where(_same(F.struct(*fields), F.col("__y"), exact, folded))
+    return met.groupBy("__p", "__q", *fields, "__own").agg(F.min("__o").alias("first_id"), F.sum("__m").alias("copies"), F.min(F.struct("__o", "__y")).alias("__x"))
 
 
 def collapse_formatting(df: DataFrame, key: str, exact: list[str], folded: list[str]) -> DataFrame:
@@ -66,21 +77,35 @@ def collapse_formatting(df: DataFrame, key: str, exact: list[str], folded: list[
 
     Two rows are one record if the ``exact`` fields are equal and the ``folded`` ones hold the same texts, in any
     order, but for white space, letter case and punctuation. Rows with a null in any of these fields take no part; a
-    text that is empty or all punctuation is the empty text. Repeated keys count as rows. Other columns may have any
-    name and do not reach the result. Two shuffles, the second of distinct forms only; nothing is broadcast.
+    text that is empty or all punctuation is the empty text. Repeated keys count as rows, and records that begin with
+    the same key are rows of their own. Other columns may have any name and do not reach the result. One shuffle of
+    distinct forms; nothing is broadcast. Fingerprints that different records share, should there ever be any, are
+    found when their fields are compared and are parted field by field.
     """
-    forms = _forms(_records(df, key, exact, folded), len(exact), len(folded))
-    return forms.where(F.col("__own") == F.col("first_id")).select("first_id", "copies").dropDuplicates(["first_id"])
+    records = _records(df, key, exact, folded)
+    groups = written(_groups(records, len(exact), len(folded)))
+    whole = groups.where("__same").select("first_id", "copies")
+    collided = groups.where("NOT __same")
+    if collided.isEmpty():
+        return whole
+    parted = _parted(records, collided, len(exact), len(folded))
+    first = F.col("__x")["__y"] == F.struct(*_names(len(exact), len(folded)))  # one form stands for each record
+    return whole.unionByName(parted.where(first).select("first_id", "copies"))
 
 
 def formatting_copies(df: DataFrame, key: str, exact: list[str], folded: list[str], hot_rows: int = 100_000) -> DataFrame:
     """One row for each row other than the first of its record: ``first_id``, ``copy_id``. Terms as collapse_formatting.
 
-    Every row meets its record's form on fingerprint and all fields, so equality is verified on the fields themselves.
-    Records of at least ``hot_rows`` rows are salted over many tasks.
+    The fields are verified where they are grouped, so the rows meet their record by fingerprint and id alone, 24 bytes
+    each. Records of at least ``hot_rows`` rows are salted over many tasks. Rows that repeat the first key are no copies.
     """
     records = _records(df, key, exact, folded)
-    fields = [f"__e{i}" for i in range(len(exact))] + [f"__f{i}" for i in range(len(folded))]
-    forms = _forms(records, len(exact), len(folded)).where(F.col("copies") > 1).drop("__own")
-    met = join_groups(records, forms, ["__p", "__q", *fields], "copies", ["__id"], hot_rows)
-    return met.where(F.col("__id") != F.col("first_id")).select("first_id", F.col("__id").alias("copy_id"))
+    groups = written(_groups(records, len(exact), len(folded)).where("copies > 1"))
+    met = join_groups(records.select("__p", "__q", "__id"), groups.where("__same").drop("__same"), ["__p", "__q"], "copies", ["__id"], hot_rows)
+    copies = met.where(F.col("__id") != F.col("first_id")).select("first_id", F.col("__id").alias("copy_id"))
+    collided = groups.where("NOT __same")
+    if collided.isEmpty():
+        return copies
+    parted = _parted(records, collided, len(exact), len(folded)).where("copies > 1").drop("__own", "__x")
+    met = join_groups(records, parted, ["__p", "__q", *_names(len(exact), len(folded))], "copies", ["__id"], hot_rows)
+    return copies.unionByName(met.where(F.col("__id") != F.col("first_id")).select("first_id", F.col("__id").alias("copy_id")))

@@ -65,6 +65,24 @@ def test_field_roles_matter(spark):
     assert fingerprint.collapse_formatting(df.withColumn("l", F.lit("x")), "id", ["l"], ["s", "t"]).count() == 4
 
 
+def test_repeated_keys(spark):
+    """A key may stand on several records: each record keeps its own number of copies."""
+    df = spark.createDataFrame([(1, "a", "b"), (1, "c", "d"), (2, "A", "b"), (1, "e", "f"), (1, "F.", "e")], "id int, s string, t string").withColumn("l", F.lit("x"))
+    got = sorted((r.first_id, r.copies) for r in fingerprint.collapse_formatting(df, "id", ["l"], ["s", "t"]).collect())
+    assert got == [(1, 1), (1, 2), (1, 2)]
+    assert [(r.first_id, r.copy_id) for r in fingerprint.formatting_copies(df, "id", ["l"], ["s", "t"]).collect()] == [(1, 2)]
+
+
+def test_colliding_fingerprints(spark, monkeypatch):
+    """Records of one fingerprint are parted by their fields."""
+    monkeypatch.setattr(fingerprint, "_fingerprint", lambda pairs, seed: F.length(pairs[0][1]).cast("bigint"))
+    rows = [(1, "a", "b"), (2, "B", "a"), (3, "c", "d"), (4, "c", "e"), (5, "d", "c."), (6, "a", "b"), (7, "z", "z")]
+    df = spark.createDataFrame(rows, "id int, s string, t string").withColumn("l", F.lit("x"))
+    assert sorted((r.first_id, r.copies) for r in fingerprint.collapse_formatting(df, "id", ["l"], ["s", "t"]).collect()) == [(1, 3), (3, 2), (4, 1), (7, 1)]
+    for hot in (2, 10**6):
+        assert sorted((r.first_id, r.copy_id) for r in fingerprint.formatting_copies(df, "id", ["l"], ["s", "t"], hot_rows=hot).collect()) == [(1, 2), (1, 6), (3, 5)]
+
+
 # 4: top N
 
 
