@@ -59,6 +59,11 @@ def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.one_form(table(spark, folder, "tail_entry"), ["entry_id", "target_lang"], ["source", "target"])
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of entries that look the same and the number of links of each, without a row for each pair."""
+    return lookalike.lookalike_classes(table(spark, folder, "tail_entry"), "entry_id", "target_lang", ["source", "target"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -82,7 +87,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_kinds(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p1_batches, p3_found, p3_records, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_forms, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p1_batches, p3_found, p3_records, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_forms, p6_classes, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_statistics)}
 
 _U1 = unit_interval_sql("source", "sample-1")
 _FOLD = lambda c: rf"regexp_replace(replace(lower({c}), 'ß', 'ss'), '[\p{{P}}\p{{Z}}\s\x{{85}}]+', '', 'g')"

@@ -3,6 +3,7 @@
 import random
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pytest
 from hypothesis import given, settings
@@ -157,6 +158,18 @@ def test_forms_are_final(s):
     assert t(t(s)) == t(s) and t(unicodedata.normalize("NFD", s)) == t(unicodedata.normalize("NFC", s))
 
 
+_changed = lru_cache(lookalike.compile_mapping)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aеоiз1 -ﬁｆḍệїά가각") + ["\u0301", "\u0323", "\u0302", "\u0308", "\u200b", "\u200d", "\u1100", "\u1161", "\u11a8", "\u09c7", "\u09be", "\u0f71", "\u0f73", "\u0344", "\u0338", "\u00a0", "\ufeff"]), max_size=14) | st.text(max_size=20))
+def test_against_normalisation(s):
+    """The transducer against decomposition, the map of single characters, and composition of the whole text."""
+    nfd = unicodedata.normalize("NFD", s)
+    changed = _changed()
+    assert lookalike.transducer()(s) == (s if s.isascii() else unicodedata.normalize("NFC", "".join(changed.get(c, c) for c in nfd)))
+
+
 def test_long_marks():
     t = lookalike.transducer()
     assert len(t("a" + "́" * 100_000 + "б" * 100_000)) > 100_000
@@ -169,6 +182,11 @@ def test_lookalike_pairs(spark):
     for hot in (2, 10**6):
         assert sorted(map(tuple, lookalike.lookalike_pairs(df, "entry_id", "target_lang", ["source", "target"], hot_rows=hot).collect())) == want
     assert lookalike.lookalike_pairs(df.where("false"), "entry_id", "target_lang", ["source", "target"]).count() == 0
+    for hot in (2, 10**6):
+        got = {r.entry_id: (r.class_id, r.n_links) for r in lookalike.lookalike_classes(df, "entry_id", "target_lang", ["source", "target"], hot_rows=hot).collect()}
+        assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 4), 5: (5, 0), 6: (6, 0), 9: (1, 3)}
+        assert all(n == sum(k in p for p in want) for k, (_, n) in got.items())
+    assert lookalike.lookalike_classes(df.where("false"), "entry_id", "target_lang", ["source", "target"]).count() == 0
     forms = {r.entry_id: r.source for r in lookalike.one_form(df, ["entry_id"], ["source"]).collect()}
     assert forms[2] == "foo" and forms[8] is None
 
