@@ -31,6 +31,8 @@ LINK = (
     "il lo gli i uno di dei della del e nel con per su da al un'"
 ).split()
 
+#: White space of any kind; a text or line of nothing else is blank.
+_BLANK = r"\s\p{Z}\x{85}"
 _END = r"[.!?…:;,][\"'»”“’)\]]*\s*$"
 _SENTENCE_END = r"[.!?…][\"'»”“’)\]]*\s*$"
 #: A line of three or more columns: by tabs, bars, wide spaces, commas and semicolons without a space around, rulers.
@@ -89,11 +91,13 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     odd = [t.contains(c) for c in ("\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")]
     one_end = F.when(reduce(lambda a, b: a | b, odd), F.regexp_replace(t, r"\r\n?|[\x0b\x0c\x85\x{2028}\x{2029}]", "\n")).otherwise(t)
     rows = _step(df, F.col(key).alias("__key"), one_end.alias("__t"), F.lower(one_end).alias("__low"))
-    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: x.rlike(r"\S")).alias("__lines"), F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}]+"), 0).alias("__w"))
+    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: x.rlike(rf"[^{_BLANK}]")).alias("__lines"))
     lines, t = F.col("__lines"), F.col("__t")
+    # each line is split once: its parts serve the lines with clause words, and put together they are the words of the text
+    rows = _step(rows, F.col("__key"), t, lines, F.transform(lines, lambda x: F.split(x, r"[^\p{L}\p{M}]+")).alias("__parts"))
+    rows = _step(rows, F.col("__key"), t, lines, F.col("__parts"), F.array_remove(F.flatten("__parts"), "").alias("__w"), F.filter(lines, lambda x: x.rlike(_END)).alias("__ended"))
     sized = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
-    parts = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), F.split(x, r"[^\p{L}\p{M}]+").alias("w")))
-    sentences = F.aggregate(parts, F.lit(0), lambda s, x: s + F.when((F.size(x["w"]) >= 5) & F.exists(x["w"], among(CLAUSE)), x["n"]).otherwise(0))
+    sentences = F.zip_with(lines, "__parts", lambda x, w: F.when((F.size(w) >= 5) & F.exists(w, among(CLAUSE)), F.length(x)).otherwise(0))
     counts = {
         "n_chars": F.length("__t"),
         "n_words": F.size("__w"),
@@ -101,7 +105,7 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "distinct_words": F.size(F.array_distinct("__w")),
         "__clause": F.size(F.filter("__w", among(CLAUSE))),
         "__link": F.size(F.filter("__w", among(LINK))),
-        "__n_ink": F.length(F.regexp_replace(t, r"\s+", "")),
+        "__n_ink": F.length(F.regexp_replace(t, rf"[{_BLANK}]+", "")),
         "__digits": F.length(F.regexp_replace(t, r"[^0-9]+", "")),
         "__vowels": F.length(F.regexp_replace(t, r"[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+", "")),
         "__foreign": F.octet_length(t) - F.length(t),
@@ -109,10 +113,10 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "__marks": F.regexp_count(t, F.lit(r"[,;|•·│/]")),
         "__breaks": F.regexp_count(t, F.lit(r"[a-z][A-Z]")),
         "__n_lines": F.size(lines),
-        "__ends": F.size(F.filter(lines, lambda x: x.rlike(_END))),
-        "__stops": F.size(F.filter(lines, lambda x: x.rlike(_SENTENCE_END))),
+        "__ends": F.size("__ended"),
+        "__stops": F.size(F.filter("__ended", lambda x: x.rlike(_SENTENCE_END))),
         "__columns": F.filter(lines, columns),
-        "__clause_chars": sentences,
+        "__clause_chars": F.aggregate(sentences, F.lit(0), lambda s, x: s + x),
         "__line_chars": sized(lines),
         "__tags": F.when(t.contains("<"), F.length(t) - F.length(F.regexp_replace(t, r"<[^<>\n]*>", ""))).otherwise(0),
     }

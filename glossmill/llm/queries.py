@@ -100,9 +100,9 @@ _COLUMNS = r"regexp_matches(x, '^[^,;]*[^\s,;][,;][^\s,;][^,;]*[,;]([^ ]|$)') OR
 _AMONG = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words))) + ")"
 _PER = lambda a, b: f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0::DOUBLE END"
 _STATISTICS = rf"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?|[\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM documents),
- b AS (SELECT doc_id, t, list_filter(string_split(lower(t), chr(10)), lambda x: regexp_matches(x, '\S')) AS ln, regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}]+') AS w FROM a),
+ b AS (SELECT doc_id, t, list_filter(string_split(lower(t), chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}\x{{85}}]')) AS ln, regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}]+') AS w FROM a),
  c AS (SELECT doc_id, t, ln, w, list_filter(ln, lambda x: {_COLUMNS}) AS cl, list_filter(ln, lambda x: len(regexp_split_to_array(x, '[^\p{{L}}\p{{M}}]+')) >= 5 AND len(list_filter(regexp_split_to_array(x, '[^\p{{L}}\p{{M}}]+'), lambda y: y IN {_AMONG(quality.CLAUSE)})) > 0) AS se FROM b),
- d AS (SELECT doc_id, length(t) AS chars, len(w) AS nw, length(array_to_string(w, '')) AS inw, length(regexp_replace(t, '\s+', '', 'g')) AS ink, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dig, length(regexp_replace(t, '[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+', '', 'g')) AS vow, strlen(t) - length(t) AS fo, len(ln) AS nl,
+ d AS (SELECT doc_id, length(t) AS chars, len(w) AS nw, length(array_to_string(w, '')) AS inw, length(regexp_replace(t, '[\s\p{{Z}}\x{{85}}]+', '', 'g')) AS ink, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dig, length(regexp_replace(t, '[^aeiouyAEIOUYàâäáèéêëìíîïòóôöùúûü]+', '', 'g')) AS vow, strlen(t) - length(t) AS fo, len(ln) AS nl,
   len(list_filter(ln, lambda x: regexp_matches(x, '{_END}'))) AS en, len(list_filter(ln, lambda x: regexp_matches(x, '{_END.replace(":;,", "")}'))) AS st, len(list_filter(w, lambda x: x IN {_AMONG(quality.CLAUSE)})) AS cla, len(list_filter(w, lambda x: x IN {_AMONG(quality.LINK)})) AS lin, length(array_to_string(se, '')) AS sec, length(array_to_string(cl, '')) AS coc, length(array_to_string(ln, '')) AS lic, len(cl) AS nc,
   len(regexp_extract_all(t, '[;|•·│]')) AS un, len(regexp_extract_all(t, '[,;|•·│/]')) AS ma, len(regexp_extract_all(t, '[a-z][A-Z]')) AS br, len(list_distinct(w)) AS di, length(t) - length(regexp_replace(t, '<[^<>\n]*>', '', 'g')) AS ta FROM c),
  s AS (SELECT doc_id, CAST(CASE WHEN ink > 0 THEN chars ELSE 0 END AS DOUBLE) AS n_chars, CAST(nw AS DOUBLE) AS n_words, {_PER("inw", "nw")} AS mean_word_len, {_PER("(ink - inw - dig)", "ink")} AS symbol_ratio, {_PER("dig", "ink")} AS digit_ratio, {_PER("vow", "inw")} AS vowel_ratio, {_PER("fo", "ink")} AS foreign_ratio, {_PER("en", "nl")} AS end_punct_share, {_PER("st", "nl")} AS sentence_end_share, {_PER("(cla + lin)", "nw")} AS common_share, {_PER("cla", "nw")} AS clause_share, {_PER("lin", "nw")} AS link_share,
