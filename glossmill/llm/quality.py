@@ -59,10 +59,11 @@ _NEEDS = {
 
 
 def _step(df: DataFrame, *columns: Column) -> DataFrame:
-    """A projection that is computed once for each row.
+    """A projection that a filter on it does not pass.
 
-    A generator of one element stands between it and what follows, so that the optimiser does not copy its expensive
-    expressions into each place that uses them, such as every branch of a CASE and the filter on it.
+    A generator of one element stands between, so that the optimiser does not copy the expressions into the filter and
+    compute all of them once for the filter and once for the result. (It merges no projections whose costly
+    expressions are used more than once, so within the statistics plain ones do.)
     """
     return df.select(F.inline(F.array(F.struct(*columns))))
 
@@ -90,12 +91,12 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
     t = F.coalesce(F.col(text), F.lit(""))
     odd = [t.contains(c) for c in ("\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")]
     one_end = F.when(reduce(lambda a, b: a | b, odd), F.regexp_replace(t, r"\r\n?|[\x0b\x0c\x85\x{2028}\x{2029}]", "\n")).otherwise(t)
-    rows = _step(df, F.col(key).alias("__key"), one_end.alias("__t"), F.lower(one_end).alias("__low"))
-    rows = _step(rows, F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: x.rlike(rf"[^{_BLANK}]")).alias("__lines"))
+    rows = df.select(F.col(key).alias("__key"), one_end.alias("__t"), F.lower(one_end).alias("__low"))
+    rows = rows.select(F.col("__key"), F.col("__t"), F.filter(F.split("__low", "\n"), lambda x: x.rlike(rf"[^{_BLANK}]")).alias("__lines"))
     lines, t = F.col("__lines"), F.col("__t")
     # each line is split once: its parts serve the lines with clause words, and put together they are the words of the text
-    rows = _step(rows, F.col("__key"), t, lines, F.transform(lines, lambda x: F.split(x, r"[^\p{L}\p{M}]+")).alias("__parts"))
-    rows = _step(rows, F.col("__key"), t, lines, F.col("__parts"), F.array_remove(F.flatten("__parts"), "").alias("__w"), F.filter(lines, lambda x: x.rlike(_END)).alias("__ended"))
+    rows = rows.select(F.col("__key"), t, lines, F.transform(lines, lambda x: F.split(x, r"[^\p{L}\p{M}]+")).alias("__parts"))
+    rows = rows.select(F.col("__key"), t, lines, F.col("__parts"), F.array_remove(F.flatten("__parts"), "").alias("__w"), F.filter(lines, lambda x: x.rlike(_END)).alias("__ended"))
     sized = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
     sentences = F.zip_with(lines, "__parts", lambda x, w: F.when((F.size(w) >= 5) & F.exists(w, among(CLAUSE)), F.length(x)).otherwise(0))
     counts = {
@@ -146,8 +147,8 @@ def with_statistics(df: DataFrame, key: str, text: str, only: tuple[str, ...] =
         "markup_share": per(F.col("__tags"), F.col("n_chars")),
     }
     used = [x for x in counts if any(re.search(rf"\b{x}\b", _NEEDS[c]) for c in only)]
-    scalars = _step(rows, F.col("__key"), *[counts[x].alias(x) for x in used])
-    return _step(scalars, F.col("__key").alias(key), *[out[c].alias(c) for c in STATISTICS if c in only])
+    scalars = rows.select(F.col("__key"), *[counts[x].alias(x) for x in used])
+    return scalars.select(F.col("__key").alias(key), *[out[c].alias(c) for c in STATISTICS if c in only])
 
 
 @lru_cache(1)
