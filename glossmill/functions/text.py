@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as scripting languages see it; Java's own class is ASCII only.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-#: Words whose text the column ``back`` draws on: an article and the character before it lie within the last two.
-LOOK_BACK = 2
+#: The same as characters.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LOOK_BACK = 16
 WORD = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -88,7 +94,12 @@ def sentence_context(text: Column, start: Column) -> Column:
     rest = F.substring(text, cut + 1, F.length(text))
     # a boundary whose white space goes on past the offset belongs to the sentence it ends
     piece = F.regexp_extract(rest, r"^(?s:.*?)(?:[.!?]\s+|\n+)", 0)
-    out = trim_all(F.when(piece == "", rest).otherwise(piece))
+    return cut_context(F.when(piece == "", rest).otherwise(piece))
+
+
+def cut_context(sentence: Column) -> Column:
+    """The sentence trimmed, and cut at 200 characters to 197 and '…'."""
+    out = trim_all(sentence)
     return F.when(F.length(out) > 200, F.concat(F.substring(out, 1, 197), F.lit("…"))).otherwise(out)
 
 
@@ -99,28 +110,52 @@ def blank_word(sentence: Column, surface: Column) -> Column:
     return F.when(F.regexp_like(sentence, quoted), F.concat(part(1), F.lit("___"), part(2)))
 
 
-def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+def tokens(docs: DataFrame, key: str, text: str, ahead: int = 0) -> DataFrame:
     """One row for each word: ``key``, ``token_no`` from 0, ``token``, ``start``, ``end`` (code points, half-open), ``gap`` before
-    it, and ``back``, the 16 characters before it (fewer at the start).
+    it, and ``back``, the LOOK_BACK characters before it (fewer at the start).
 
-    Offsets come from the lengths of words and gaps, summed along the text. Texts without words, empty and null ones
-    give no rows. The words of a text are brought to one task for the sum, which holds one text's words at a time.
+    With ``ahead``, also the up to so many words that follow with only white space between (``ahead``, lower case, joined
+    by spaces) and their ends (``ends``). Texts without words, empty and null ones give no rows. Offsets come from one
+    scan of each text in Arrow batches, so nothing is shuffled and whole texts are read, however long.
     """
-    cut = docs.select(F.col(key), F.regexp_extract_all(text, F.lit(WORD), 0).alias("__w"), F.split(text, WORD, -1).alias("__g"))
-    rows = cut.select(key, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.col("__g").alias("g"))).alias("token_no", "__x")).where(F.col("__x.w").isNotNull())
-    along = Window.partitionBy(key).orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("__x.g") + F.length("__x.w")).over(along).cast("int")
-    order = Window.partitionBy(key).orderBy("token_no")
-    before = lambda c, n: F.coalesce(F.lag(F.col(f"__x.{c}"), n).over(order), F.lit(""))
-    # words and gaps are never empty inside a text but for the first gap, so a few of them hold what a look back needs
-    back = F.concat(*[x for n in range(LOOK_BACK, 0, -1) for x in (before("g", n), before("w", n))], F.col("__x.g"))
-    out = rows.select(key, "token_no", F.col("__x.w").alias("token"), end.alias("end"), F.col("__x.g").alias("gap"), F.right(back, F.lit(16)).alias("back"))
-    return out.select(key, "token_no", "token", (F.col("end") - F.length("token")).alias("start"), "end", "gap", "back")
-
-
-def first_matching(x: Column, cases: list[tuple[str, Column]], otherwise: Column) -> Column:
-    """The value of the first pattern that the text matches."""
-    out = None
-    for pattern, value in cases:
-        out = F.when(x.rlike(pattern), value) if out is None else out.when(x.rlike(pattern), value)
-    return out.otherwise(otherwise)
+    kind = docs.select(key).schema[key].dataType
+    fields = [T.StructField(key, kind), T.StructField("token_no", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("gap", T.StringType()), T.StructField("back", T.StringType())]
+    if ahead:
+        fields += [T.StructField("ahead", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))]
+    names = [f.name for f in fields]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(WORD).finditer
+        for batch in batches:
+            at, cols = [], [[] for _ in names[1:]]
+
+            def done(batch=batch) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
+                at.clear()
+                for c in cols:
+                    c.clear()
+                return out
+
+            for row, x in enumerate(batch.column(1).to_pylist()):
+                spans = [m.span() for m in find(x)] if x else []
+                if not spans:
+                    continue
+                n, before = len(spans), [0, *[e for _, e in spans[:-1]]]
+                words, gaps = [x[a:b] for a, b in spans], [x[e:a] for e, (a, _) in zip(before, spans)]
+                at.extend([row] * n)
+                made = [range(n), words, [a for a, _ in spans], [b for _, b in spans], gaps, [x[max(0, a - LOOK_BACK) : a] for a, _ in spans]]
+                if ahead:
+                    low, run = [w.lower() for w in words], [n] * n  # where the run of words around each one ends
+                    for i in range(n - 2, -1, -1):
+                        run[i] = run[i + 1] if not gaps[i + 1].strip(SPACES) else i + 1
+                    stop = [min(r, i + 1 + ahead) for i, r in enumerate(run)]
+                    made += [[" ".join(low[i + 1 : r]) for i, r in enumerate(stop)], [made[3][i + 1 : r] for i, r in enumerate(stop)]]
+                for c, v in zip(cols, made):
+                    c.extend(v)
+                if len(at) > 50_000:
+                    yield done()
+            if at:
+                yield done()
+
+    return docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(scan, T.StructType(fields))

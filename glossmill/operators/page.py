@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossmill.functions import grammar, text
+from glossmill.operators.lineage import written
+from glossmill.operators.skew import hot_groups, salted_join
 
 # Gates, weights and limits.
 MEDIUM_OK_ZIPF = 5.0
 CEILING = {"beginner": 7.5, "intermediate": 6.0, "advanced": 5.0}
 ALPHA, BETA, GAMMA, MAX_RANK, DAY_MS, MAINTENANCE = 0.4, 0.3, 0.3, 10_000, 86_400_000, 0.1
 MIN_NODE_WORDS, MIN_PAGE_WORDS = 3, 100
-#: Words of a phrase that are looked up at once.
+#: Words of an expression that are looked up at once.
 HEAD = 3
+#: Rows of the lexicon's side that are broadcast, words and heads of some tens of bytes; more are shuffled.
+BROADCAST = 200_000
+#: Parts of speech of single words, the first to be tried first.
+ORDER = ("function", "noun", "verb", "adjective", "adverb")
 
 
 def replaceable(eligible: Column, confidence: Column, zipf: Column) -> Column:
@@ -49,40 +56,62 @@ def score(rank: Column, seen: Column, last_seen_ms: Column, interval: Column, kn
     return F.when(known, 0.0).when(graduated, raw * MAINTENANCE).otherwise(raw)
 
 
-def phrase_matches(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """Every phrase of the lexicon in the texts: ``key``, start, end, phrase, n_words; words apart by white space only.
+def matches(docs: DataFrame, lexicon: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Every place of the texts that the lexicon has: expressions of any length, and words in the forms they are met in.
 
-    ``tokens``: key, token_no, token, start, end, gap. ``phrases``: phrase, n_words (2 or more, without bound). Each token
-    looks at the next words of its text through one window and meets the first HEAD words of a phrase in one equi-join;
-    the words of longer phrases beyond those are each compared with the token at their place.
+    ``lexicon``: target_lang, key, part_of_speech, function_subtype, n_words, one row for each language and key. Columns: ``key``,
+    target_lang, start, end, lemma, kind, n_words, ``made`` (1 where the word is an inflected form), token, back.
+    Expressions have white space only between their words and may overlap here, see greedy_matches(); words with an apostrophe
+    or hyphen are no words of the lexicon.
+
+    The texts are scanned once. A token meets the lexicon by itself and by the two and three words that begin with it; the
+    rest of a longer expression is compared on the spot, with as many words ahead as the longest one has. The lexicon's
+    side is counted first: up to BROADCAST rows are broadcast, beyond it both sides are shuffled, hot words salted.
     """
-    along = Window.partitionBy(key).orderBy("token_no")
-    tokens = tokens.select(key, "token_no", F.lower("token").alias("__low"), "start", "end", F.col("gap").rlike(f"^{text.SPACE}+$").alias("__apart"))
-    grown, words, ok = [], F.col("__low"), F.lit(True)
+    expressions = lexicon.where("part_of_speech = 'expression'").select("target_lang", F.col("key").alias("lemma"), F.lit("expression").alias("kind"), "n_words", F.lit(0).alias("made"), F.substring_index("key", " ", HEAD).alias("__head"), F.least("n_words", F.lit(HEAD)).alias("__n"))
+    words = surfaces(lexicon).select("target_lang", "lemma", "kind", F.lit(1).alias("n_words"), (F.col("surface") != F.col("lemma")).cast("int").alias("made"), F.col("surface").alias("__head"), F.lit(1).alias("__n"))
+    heads = written(expressions.unionByName(words))
+    size, longest = heads.agg(F.count("*"), F.max("n_words")).first()
+    scanned = text.tokens(docs, key, text_col, max(1, (longest or 1) - 1)).withColumn("__low", F.lower("token"))
+    grown = [F.struct(F.col("__low").alias("__head"), F.lit(1).alias("__n"))]
     for n in range(2, HEAD + 1):
-        words = F.concat_ws(" ", words, F.lead("__low", n - 1).over(along))
-        ok = ok & F.lead("__apart", n - 1).over(along)
-        grown.append(F.when(ok, F.struct(words.alias("__head"), F.lit(n).alias("__n"), F.lead("end", n - 1).over(along).alias("end"))))
-    each = tokens.select(key, "token_no", "start", F.array(*grown).alias("__g")).select(key, "token_no", "start", F.explode("__g").alias("__p")).where("__p IS NOT NULL")
-    heads = phrases.select("phrase", "n_words", F.substring_index("phrase", " ", HEAD).alias("__head"), F.least("n_words", F.lit(HEAD)).alias("__n"))
-    met = each.select(key, "token_no", "start", "__p.*").join(heads, ["__head", "__n"])
-    rest = F.slice(F.split("phrase", " "), HEAD + 1, F.greatest(F.col("n_words") - HEAD, F.lit(0)))
-    asked = met.select(key, "token_no", "start", "end", "phrase", "n_words", F.posexplode_outer(rest).alias("__i", "__low")).withColumn("token_no", F.col("token_no") + HEAD + F.col("__i"))
-    there = tokens.where("__apart").select(key, "token_no", "__low", F.col("end").alias("__end"))
-    found = asked.join(there, [key, "token_no", "__low"], "left").groupBy(key, "start", "end", "phrase", "n_words").agg(F.count("__end").alias("__same"), F.max("__end").alias("__end"))
-    return found.where(F.col("__same") == F.greatest(F.col("n_words") - HEAD, F.lit(0))).select(key, "start", F.coalesce("__end", "end").alias("end"), "phrase", "n_words")
-
-
-def greedy_matches(matches: DataFrame, key: str) -> DataFrame:
-    """Matches kept from left to right, the longest first at each start; a match must start at or after the last end.
-
-    The matches of one text are folded in one array: acceptance depends on what was accepted before.
+        grown.append(F.when(F.size("ends") >= n - 1, F.struct(F.concat_ws(" ", "__low", F.substring_index("ahead", " ", n - 1)).alias("__head"), F.lit(n).alias("__n"))))
+    each = scanned.select(key, "token", "__low", "start", "end", "ahead", "ends", "back", F.explode(F.array_compact(F.array(*grown))).alias("__g")).select("*", "__g.*").drop("__g")
+    if size <= BROADCAST:
+        met = each.join(F.broadcast(heads), ["__head", "__n"])
+    else:
+        met = salted_join(each, heads, ["__head", "__n"], hot_groups(each.groupBy("__head", "__n").agg(F.count("*").alias("n")), ["__head", "__n"], "n"), ["start", key])
+    whole = (F.col("n_words") <= HEAD) | F.startswith(F.concat("__low", F.lit(" "), "ahead", F.lit(" ")), F.concat("lemma", F.lit(" ")))
+    plain = (F.col("kind") == "expression") | ~F.col("token").rlike("['-]")
+    stop = F.when(F.col("n_words") == 1, F.col("end")).otherwise(F.get("ends", F.col("n_words") - 2))
+    return met.where(whole & plain).select(key, "target_lang", "start", stop.alias("end"), "lemma", "kind", "n_words", "made", "token", "back")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _from_left(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Positions of the ranges kept from left to right: each starts at or after the end of the one kept before."""
+
+    def one(start, end) -> list[int]:
+        out, cursor = [], 0
+        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+            if a >= cursor:
+                out.append(i)
+                cursor = b
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(starts, ends)], dtype=object)
+
+
+def greedy_matches(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Expressions kept from left to right, the longest first at each start; one must start at or after the last end.
+
+    ``found``: keys, start, end, lemma, n_words. The expressions of one text and language are kept as one array: acceptance
+    depends on what was accepted before.
     """
-    order = F.array_sort(F.collect_list(F.struct("start", (-F.col("n_words")).alias("__n"), "end", "phrase")))
-    grouped = matches.groupBy(key).agg(order.alias("__m"))
-    one = F.struct(F.lit(0).alias("cursor"), F.filter("__m", lambda x: F.lit(False)).alias("kept"))
-    fold = F.aggregate("__m", one, lambda s, m: F.when(m["start"] >= s["cursor"], F.struct(m["end"].alias("cursor"), F.concat(s["kept"], F.array(m)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return grouped.select(key, F.explode(fold).alias("__x")).select(key, "__x.start", "__x.end", "__x.phrase", (-F.col("__x.__n")).alias("n_words"))
+    order = F.array_sort(F.collect_list(F.struct("start", (-F.col("n_words")).alias("__n"), "lemma", "end")))
+    grouped = found.groupBy(*keys).agg(order.alias("__m"))
+    kept = F.transform(_from_left(F.col("__m.start"), F.col("__m.end")), lambda i: F.get("__m", i))
+    return grouped.select(*keys, F.explode(kept).alias("__x")).select(*keys, "__x.start", "__x.end", "__x.lemma", (-F.col("__x.__n")).alias("n_words"))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -102,91 +131,160 @@ def _accepted(starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(starts, ends)], dtype=object)
 
 
-def select_ranges(ranges: DataFrame, key: str) -> DataFrame:
+def select_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Non-overlapping ranges: by priority, then start, length (longer first), end; empty ranges are left out.
 
-    ``ranges``: key, start, end, priority and payload columns. Ranges of a text are taken
+    ``ranges``: keys, start, end, priority and payload columns. Ranges of a text are taken
     in order against those accepted so far, kept sorted, in n log n steps.
     """
-    payload = [c for c in ranges.columns if c not in (key, "start", "end", "priority")]
+    payload = [c for c in ranges.columns if c not in (*keys, "start", "end", "priority")]
     item = F.struct((-F.col("priority")).alias("__p"), "start", (F.col("start") - F.col("end")).alias("__l"), "end", *payload)
-    grouped = ranges.where(F.col("end") > F.col("start")).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__r"))
+    grouped = ranges.where(F.col("end") > F.col("start")).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__r"))
     kept = _accepted(F.col("__r.start"), F.col("__r.end"))
-    return grouped.select(key, F.explode(F.transform(kept, lambda i: F.get("__r", i))).alias("__x")).select(key, "__x.start", "__x.end", (-F.col("__x.__p")).alias("priority"), *[F.col(f"__x.{c}").alias(c) for c in payload])
+    return grouped.select(*keys, F.explode(F.transform(kept, lambda i: F.get("__r", i))).alias("__x")).select(*keys, "__x.start", "__x.end", (-F.col("__x.__p")).alias("priority"), *[F.col(f"__x.{c}").alias(c) for c in payload])
 
 
-def surfaces(entries: DataFrame) -> DataFrame:
-    """lemma, kind and each lower-case ``surface`` under which a text may hold it: as it is, plurals of nouns, forms of verbs.
+def surfaces(lexicon: DataFrame) -> DataFrame:
+    """target_lang, lemma, kind and the one-word ``surface`` under which a text holds it, each surface once for a language.
 
-    The rules for singulars and infinitives are turned round on the lexicon, which is far smaller than the texts, and
-    each surface is put through the rules again, so that a surface means a lemma exactly where the rules say so.
+    A noun is met in every form whose singular it is, a verb in every form whose infinitive it is, by the rules of
+    grammar.py; the other parts of speech as they are. A form that several entries have goes to the part of speech that
+    comes first in ORDER. Determiners are met nowhere, and what is a pronoun is no noun. The rules are turned round on the
+    lexicon, which is far smaller than the texts, and each surface is put through them again.
     """
+    entries = lexicon.where(F.col("part_of_speech").isin(*ORDER) & (F.col("n_words") == 1) & ~((F.col("part_of_speech") == "function") & (F.coalesce("function_subtype", F.lit("")) == "determiner")))
+    entries = entries.select("target_lang", F.col("key").alias("lemma"), F.col("part_of_speech").alias("kind"))
     k = F.col("lemma")
     cut = lambda n: grammar.drop_last(k, n)
     add = lambda *ends: [F.concat(k, F.lit(e)) for e in ends]
     irregular = F.filter(F.array(*[F.lit(w) for w in grammar.IRREGULAR]), lambda w: grammar.verb_lemma(w) == k)
-    noun = F.array(*add("s", "es"), F.concat(cut(1), F.lit("ies")), F.concat(cut(2), F.lit("ves")))
-    verb = F.concat(F.array(*add("s", "ing", "ed"), F.concat(cut(1), F.lit("ies")), F.concat(k, F.right(k, F.lit(1)), F.lit("ing"))), irregular)
-    made = F.filter(noun, lambda w: (F.col("kind") == "noun") & (grammar.singular(w) == k))
-    formed = F.filter(verb, lambda w: (F.col("kind") == "verb") & (grammar.verb_lemma(w) == k))
-    return entries.select("lemma", "kind", F.explode(F.array_distinct(F.concat(F.array(k), made, formed))).alias("surface"))
-
+    noun = F.filter(F.array(k, *add("s", "es"), F.concat(cut(1), F.lit("ies")), F.concat(cut(2), F.lit("ves"))), lambda w: grammar.singular(w) == k)
+    verb = F.filter(F.concat(F.array(k, *add("s", "ing", "ed"), F.concat(cut(1), F.lit("ies")), F.concat(k, F.right(k, F.lit(1)), F.lit("ing"))), irregular), lambda w: grammar.verb_lemma(w) == k)
+    met = F.when(F.col("kind") == "noun", noun).when(F.col("kind") == "verb", verb).otherwise(F.array(k))
+    each = entries.select("target_lang", "lemma", "kind", F.explode(F.array_distinct(met)).alias("surface"))
+    place = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("kind"))
+    first = each.groupBy("target_lang", "surface").agg(F.min_by(F.struct("lemma", "kind"), F.struct(place, "lemma")).alias("__x"))
+    return first.select("target_lang", "__x.lemma", "__x.kind", "surface").where(~((F.col("kind") == "noun") & (F.col("lemma").isin(grammar.PRONOUNS) | F.col("surface").isin(grammar.PRONOUNS))))
 
-def word_hits(tokens: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """Tokens with each ``lemma`` and ``kind`` they can stand for, and the ``surface`` met; pronouns and compounds are left out."""
-    # the gap is asked for so that these tokens and those of the phrases are one shuffle, which Spark then reuses
-    words = tokens.where(F.col("gap").isNotNull() & ~F.col("token").rlike("['-]")).withColumn("__low", F.lower("token")).where(~F.col("__low").isin(grammar.PRONOUNS))
-    hits = surfaces(entries.where("n_words = 1").select(F.col("key").alias("lemma"), F.col("part_of_speech").alias("kind"))).where(~F.col("lemma").isin(grammar.PRONOUNS))
-    return words.join(hits, F.col("__low") == F.col("surface")).drop("__low")
 
+def candidates(found: DataFrame, kept: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
+    """First replaceable occurrence of each lemma in a text and language: ``key``, target_lang, lemma, start, end, kind.
 
-def candidates(tokens: DataFrame, accepted: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
-    """First replaceable occurrence of each lemma in a text: ``key``, lemma, start, end, kind.
-
-    Phrases come before single words; the first occurrence of a phrase reserves its range, and words in a reserved range
-    do not count. ``accepted``: greedy phrase matches. ``lexicon``: key, part_of_speech, eligible, confidence, en_zipf,
-    n_words. Pronouns and forms with an apostrophe or hyphen are no candidates; a word is looked up as it is, else by
-    the rules for its singular (nouns) or infinitive (verbs).
+    ``found``: the words that matches() gives; ``kept``: its greedy expressions; ``lexicon``: target_lang, key, eligible, confidence, en_zipf. Expressions come
+    before single words; the first occurrence of an expression reserves its range, and words in a reserved range do not count.
     """
-    good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level))
-    firsts = accepted.join(good.where("n_words > 1").select(F.col("key").alias("phrase")), "phrase").groupBy(key, "phrase").agg(F.min(F.struct("start", "end")).alias("__f"))
-    firsts = firsts.select(key, F.col("phrase").alias("lemma"), "__f.start", "__f.end", F.lit("expression").alias("kind"))
-    met = word_hits(tokens, good, key).select(key, "lemma", "start", "end", "kind")
-    taken = firsts.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
-    free = met.join(taken, (met[key] == taken[key]) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), "left_anti")
-    single = free.groupBy(key, "lemma").agg(F.min(F.struct("start", "end", "kind")).alias("__f")).select(key, "lemma", "__f.start", "__f.end", "__f.kind")
+    keys = [key, "target_lang"]
+    good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level)).select("target_lang", F.col("key").alias("lemma"))
+    firsts = kept.join(good, ["target_lang", "lemma"]).groupBy(*keys, "lemma").agg(F.min(F.struct("start", "end")).alias("__f"))
+    firsts = firsts.select(*keys, "lemma", "__f.start", "__f.end", F.lit("expression").alias("kind"))
+    met = found.join(good, ["target_lang", "lemma"]).select(*keys, "lemma", "start", "end", "kind")
+    taken = firsts.select(F.col(key).alias("__k"), F.col("target_lang").alias("__l"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    free = met.join(taken, (met[key] == F.col("__k")) & (met["target_lang"] == F.col("__l")) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), "left_anti")
+    single = free.groupBy(*keys, "lemma").agg(F.min(F.struct("start", "end", "kind")).alias("__f")).select(*keys, "lemma", "__f.start", "__f.end", "__f.kind")
     return firsts.unionByName(single)
 
 
-def top_by_density(scored: DataFrame, key: str, density: float) -> DataFrame:
-    """The best floor(density * eligible) candidates of each text with a positive score; eligible counts them all."""
-    counted = scored.withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    ranked = counted.where("score > 0").withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "lemma")))
-    return ranked.where(F.col("rn") <= F.floor(F.lit(density) * F.col("n")))
+def _in_order(score: str) -> list[Column]:
+    """Best score first; equal ones as they stand on the page, where expressions are read before words."""
+    return [F.desc(score), F.col("kind") != "expression", F.col("start")]
 
 
-def render(docs: DataFrame, chosen: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Texts with the chosen ranges replaced: ``key``, ``rendered``. Texts without ranges come out as they are.
+def top_by_density(scored: DataFrame, keys: list[str], density: float) -> DataFrame:
+    """The best floor(density * eligible) candidates of each text with a positive score; eligible counts them all. ``scored`` has score, kind, start."""
+    counted = scored.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    ranked = counted.where("score > 0").withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*_in_order("score"))))
+    return ranked.where(F.col("rn") <= F.floor(F.lit(density) * F.col("n")))
 
-    ``chosen``: key, start, end, display; ranges of one text must not overlap.
+
+@F.pandas_udf(T.StructType([T.StructField("rendered", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+def _pieced(texts: pd.Series, starts: pd.Series, ends: pd.Series, displays: pd.Series) -> pd.DataFrame:
+    """Each text put together once from what stands between its ranges and what is shown in them, and where that stands."""
+    out = []
+    for t, a, b, d in zip(texts, starts, ends, displays):
+        if t is None or a is None:
+            out.append((t, []))
+            continue
+        parts, at, to, size = [], [], 0, 0
+        for s, e, shown in zip(a.tolist(), b.tolist(), d.tolist()):
+            between = t[to:s]
+            at.append(size + len(between))
+            size += len(between) + len(shown)
+            parts += (between, shown)
+            to = e
+        out.append(("".join([*parts, t[to:]]), at))
+    return pd.DataFrame(out, columns=["rendered", "starts"])
+
+
+def render(docs: DataFrame, chosen: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Texts with the chosen ranges replaced: ``keys``, ``rendered``, ``spans``. Texts without ranges come out as they are.
+
+    ``docs``: keys and the text; ``chosen``: keys, start, end, display; ranges of one text must not overlap. ``spans`` tells for each
+    range where it now starts, what it shows and what stood there, in order of place; restore() takes it back.
+    """
+    grouped = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "display"))).alias("__r"))
+    rows = docs.select(*keys, F.col(text_col).alias("__t")).join(grouped, keys, "left")
+    rows = rows.withColumn("__p", _pieced(F.col("__t"), F.col("__r.start"), F.col("__r.end"), F.col("__r.display")))
+    span = lambda r, i: F.struct(F.get("__p.starts", i).alias("start"), r["display"].alias("display"), F.substring("__t", r["start"] + 1, r["end"] - r["start"]).alias("original"))
+    empty = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("display"), F.lit("").alias("original"))), lambda x: F.lit(False))
+    return rows.select(*keys, F.col("__p.rendered").alias("rendered"), F.coalesce(F.transform("__r", span), empty).alias("spans"))
+
+
+@F.pandas_udf(T.StringType())
+def _taken_back(texts: pd.Series, starts: pd.Series, displays: pd.Series, originals: pd.Series) -> pd.Series:
+    out = []
+    for t, a, d, o in zip(texts, starts, displays, originals):
+        if t is None:
+            out.append(None)
+            continue
+        parts, to = [], 0
+        for s, shown, was in zip(a.tolist(), d.tolist(), o.tolist()):
+            parts += (t[to:s], was)
+            to = s + len(shown)
+        out.append("".join([*parts, t[to:]]))
+    return pd.Series(out, dtype=object)
+
+
+def restore(rendered: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts that render() was given: ``keys``, ``restored``."""
+    return rendered.select(*keys, _taken_back(F.col("rendered"), F.col("spans.start"), F.col("spans.display"), F.col("spans.original")).alias("restored"))
+
+
+_ENDS = regex.compile(r"[.!?][ \t\n\x0b\f\r]+|\n+")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("sentence", T.StringType())])))
+def _sentences(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """What stands at each range, and from the last sentence end before it to the next one after that."""
+    out = []
+    for t, a, b in zip(texts, starts, ends):
+        cuts = [0, *(m.end() for m in _ENDS.finditer(t))]
+        rows = []
+        for s, e in zip(a.tolist(), b.tolist()):
+            k = bisect_right(cuts, s) - 1  # white space after a mark may hold the place: it then belongs to the sentence it ends
+            rows.append({"token": t[s:e], "sentence": t[cuts[k] : cuts[k + 1] if k + 1 < len(cuts) else len(t)]})
+        out.append(rows)
+    return pd.Series(out, dtype=object)
+
+
+def contexts(docs: DataFrame, ranges: DataFrame, key: str, text_col: str) -> DataFrame:
+    """The columns of ``ranges`` but at and end, with ``token`` and its ``context``, see text.sentence_context().
+
+    The ends of a text's sentences are looked for once, however many ranges it has; its ranges come as one array.
     """
-    grouped = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "display"))).alias("__r"))
-    t = F.col(text_col)
-    since = lambda i: F.coalesce(F.get("__r", i - 1)["end"], F.lit(0))
-    pieces = F.transform("__r", lambda r, i: F.concat(F.substring(t, since(i) + 1, r["start"] - since(i)), r["display"]))
-    out = F.concat(F.array_join(pieces, ""), F.substring(t, since(F.size("__r")) + 1, F.length(t)))
-    return docs.join(grouped, key, "left").select(key, F.when(F.col("__r").isNull(), t).otherwise(out).alias("rendered"))
+    rest = [c for c in ranges.columns if c not in (key, "at", "end")]
+    grouped = ranges.groupBy(key, *rest).agg(F.collect_list(F.struct("at", "end")).alias("__r"))
+    rows = grouped.join(docs.select(key, F.col(text_col).alias("__t")), key).withColumn("__s", F.explode(_sentences(F.col("__t"), F.col("__r.at"), F.col("__r.end"))))
+    return rows.select(key, *rest, F.col("__s.token").alias("token"), text.cut_context(F.col("__s.sentence")).alias("context"))
 
 
-def retain_ranks(scored: DataFrame, previous: DataFrame, key: str) -> DataFrame:
-    """Ranks that survive a refresh: lemmas ranked before keep their order, new ones follow by score, then lemma.
+def retain_ranks(scored: DataFrame, previous: str, keys: list[str]) -> DataFrame:
+    """Ranks that survive a refresh: lemmas ranked before keep their order, new ones follow by score, then place on the page.
 
-    ``scored``: key, lemma, score (lemmas of score 0 are left out unless ranked before); ``previous``: key, lemma, rn.
-    Lemmas that are no candidates any more lose their place.
+    ``scored``: keys, lemma, score, kind, start and the rank before in the column ``previous``, null if there was none; lemmas of score 0
+    are left out unless ranked before. Lemmas that are no candidates any more lose their place.
     """
-    before = previous.select(key, "lemma", F.col("rn").alias("__old"))
-    j = scored.join(before, [key, "lemma"], "left").where("score > 0 OR __old IS NOT NULL")
-    return j.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("__old"), F.desc("score"), "lemma"))).drop("__old")
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(previous), *_in_order("score"))
+    return scored.where((F.col("score") > 0) | F.col(previous).isNotNull()).withColumn("rn", F.row_number().over(order)).drop(previous)
 
 
 def percent(x: Column) -> Column:

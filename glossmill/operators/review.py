@@ -92,6 +92,34 @@ def saved_words(events: DataFrame, keys: list[str]) -> DataFrame:
     return toggles.where("__n % 2 = 1").drop("__n")
 
 
+def marks(events: DataFrame, keys: list[str]) -> DataFrame:
+    """What each key is marked as after its marks in time order: ``known``, ``unknown``, ``unknown_at``.
+
+    ``events``: keys, ts, event_id, ``mark`` ('known', 'not_known', 'unknown', 'not_unknown'). A key is known or unknown or
+    neither: either mark takes the other back. ``unknown_at`` is when the unknown mark was set, which marking it again does
+    not move. Two aggregates with map-side combine, so a key may have any number of marks; other events do not count.
+    """
+    at = F.struct("ts", "event_id")
+    last = lambda *kinds: F.max(F.when(F.col("mark").isin(*kinds), at))
+    marked = events.where(F.col("mark").isin("known", "not_known", "unknown", "not_unknown"))
+    ends = marked.groupBy(*keys).agg(last("known").alias("__k"), last("not_known", "unknown").alias("__nk"), last("not_unknown", "known").alias("__reset"), last("unknown").alias("__u"))
+    after = lambda a, b: F.col(a).isNotNull() & F.coalesce(F.col(a) > F.col(b), F.lit(True))
+    first = marked.where("mark = 'unknown'").join(ends.select(*keys, "__reset"), keys).where(F.col("__reset").isNull() | (at > F.col("__reset"))).groupBy(*keys).agg(F.min("ts").alias("unknown_at"))
+    return ends.select(*keys, after("__k", "__nk").alias("known"), after("__u", "__reset").alias("unknown")).join(first, keys, "left")
+
+
+def stepped(interval: Column, ease: Column, repetitions: Column, history: Column, correct: Column) -> dict[str, Column]:
+    """The state after one more answer, as step() has it, as columns; null for a key without state counts as a new one."""
+    i, e, r, h = F.coalesce(interval, F.lit(0)), F.coalesce(ease, F.lit(EASE)), F.coalesce(repetitions, F.lit(0)), F.coalesce(history, F.lit(""))
+    grown = F.when(r == 0, FIRST).when(r == 1, SECOND).otherwise(F.floor(i * e + 0.5))
+    return {
+        "srs_interval": F.when(correct, grown).otherwise(FIRST).cast("bigint"),
+        "srs_ease": F.when(correct, e + UP).otherwise(F.greatest(F.lit(MIN_EASE), e - DOWN)),
+        "srs_repetitions": F.when(correct, r + 1).otherwise(0).cast("int"),
+        "history": F.right(F.concat(h, F.when(correct, "1").otherwise("0")), F.lit(HISTORY)),
+    }
+
+
 def adjusted_density(density: Column, accuracy: Column, eligible: Column, reveals: Column) -> Column:
     """Density after a quiz: up to 0.02 up from 80 % right on (not with too many reveals), up to 0.02 down below 60 %."""
     up = F.when(reveals / eligible > 0.4, 0.0).otherwise(0.02 * (accuracy - 0.8) / 0.2)
@@ -119,6 +147,12 @@ def active_time(events: DataFrame, user: str, visible: Column, threshold_s: floa
     return run.groupBy(F.col("__u").alias(user)).agg(F.sum("__s").alias("visible_s"), F.min(F.when(F.col("__r") >= threshold_s, F.col("ts"))).alias("reached_at"))
 
 
+def rendered_format(wanted: Column, holds_word: Column, has_target: Column | None = None) -> Column:
+    """The quiz format that can be shown: contextual needs a sentence that holds the word, reverse a target, meaning nothing."""
+    reverse = F.lit("reverse") if has_target is None else F.when(has_target, "reverse").otherwise("meaning")
+    return F.when((wanted == "contextual") & holds_word, wanted).when(wanted.isin("contextual", "reverse"), reverse).otherwise("meaning")
+
+
 def first_k_others(pool: DataFrame, user: str, item: str, order: str, k: int = 3) -> DataFrame:
     """For each item the first ``k`` other items of its user in the order, as an array ``others``.
 

@@ -68,22 +68,42 @@ def test_tokens(spark):
 
 def test_ranges(spark):
     rows = [(1, 0, 2, 0, "an"), (1, 0, 14, 0, "opportunity"), (1, 15, 19, 0, "next"), (2, 0, 12, 1, "noun"), (2, 4, 24, 2, "expression"), (3, 5, 5, 1, "empty")]
-    got = page.select_ranges(spark.createDataFrame(rows, "id int, start int, end int, priority int, name string"), "id").collect()
+    got = page.select_ranges(spark.createDataFrame(rows, "id int, start int, end int, priority int, name string"), ["id"]).collect()
     assert sorted((r.id, r.name) for r in got) == [(1, "next"), (1, "opportunity"), (2, "expression")]
 
 
 def test_render_and_restore(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "no words"), (3, None)], "id int, text string")
     chosen = spark.createDataFrame([(1, 0, 7, "el gato"), (1, 8, 11, "s")], "id int, start int, end int, display string")
-    assert {r.id: r.rendered for r in page.render(docs, chosen, "id", "text").collect()} == {1: "el gato s", 2: "no words", 3: None}
-    assert {r.id: r.rendered for r in page.render(docs, chosen.where("false"), "id", "text").collect()} == {1: "the cat sat", 2: "no words", 3: None}
+    assert {r.id: r.rendered for r in page.render(docs, chosen, ["id"], "text").collect()} == {1: "el gato s", 2: "no words", 3: None}
+    assert {r.id: r.rendered for r in page.render(docs, chosen.where("false"), ["id"], "text").collect()} == {1: "the cat sat", 2: "no words", 3: None}
+    assert {r.id: r.restored for r in page.restore(page.render(docs, chosen, ["id"], "text"), ["id"]).collect()} == {1: "the cat sat", 2: "no words", 3: None}
+
+
+LEXICON = "target_lang string, key string, part_of_speech string, function_subtype string, n_words int"
+
+
+def phrases(spark, docs, *keys):
+    """Matches of expressions, and of other entries given as (key, part of speech)."""
+    rows = [("es", k, "expression", None, len(k.split())) if isinstance(k, str) else ("es", *k, *[None] * (3 - len(k)), 1) for k in keys]
+    return page.matches(docs, spark.createDataFrame(rows, LEXICON), "id", "text")
 
 
 def test_phrases(spark):
     docs = spark.createDataFrame([(1, "Of course, of course not"), (2, "of, course"), (3, "alternating series test is")], "id int, text string")
-    lex = spark.createDataFrame([("of course", 2), ("alternating series", 2), ("alternating series test", 3)], "phrase string, n_words int")
-    got = page.greedy_matches(page.phrase_matches(text.tokens(docs, "id", "text"), lex, "id"), "id").collect()
-    assert sorted((r.id, r.start, r.phrase) for r in got) == [(1, 0, "of course"), (1, 11, "of course"), (3, 0, "alternating series test")]
+    found = phrases(spark, docs, "of course", "alternating series", "alternating series test")
+    got = page.greedy_matches(found, ["id"]).collect()
+    assert sorted((r.id, r.start, r.lemma) for r in got) == [(1, 0, "of course"), (1, 11, "of course"), (3, 0, "alternating series test")]
+
+
+def test_word_matches(spark, monkeypatch):
+    """Forms go to the part of speech that comes first; determiners and pronouns are met nowhere; any join gives the same."""
+    docs = spark.createDataFrame([(1, "Every dogs walked, the well-made dog walks about it. Glasses")], "id int, text string")
+    entries = [("every", "function", "determiner"), ("dog", "noun"), ("walk", "verb"), ("walk", "noun"), ("about", "function", "preposition"), ("it", "noun"), ("glass", "noun"), ("the", "function", "determiner")]
+    for most in (0, 10**6):
+        monkeypatch.setattr(page, "BROADCAST", most)
+        got = sorted((r.start, r.lemma, r.kind, r.made) for r in phrases(spark, docs, *entries).collect())
+        assert got == [(6, "dog", "noun", 1), (11, "walk", "verb", 1), (33, "dog", "noun", 0), (37, "walk", "noun", 1), (43, "about", "function", 0), (53, "glass", "noun", 1)]
 
 
 def test_scheduler(spark):
