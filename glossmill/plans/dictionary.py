@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import grammar, text
 from glossmill.operators import dictionary as d
-from glossmill.sources.tables import table
+from glossmill.sources.tables import spread, table
 
 _RAW_POS = {"noun": "n", "verb": "v", "adjective": "adj", "adverb": "adv", "expression": "phraseologicalUnit", "function": "preposition"}
 
@@ -20,7 +20,7 @@ def word_zipf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_tokens_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return text.tokens(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "token_no", "token", "start", F.col("end").alias("stop"))
+    return text.tokens(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "token_no", "token", "start", F.col("end").alias("stop"))
 
 
 def pack_core(spark: SparkSession, folder: str) -> DataFrame:

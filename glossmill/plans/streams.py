@@ -19,7 +19,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_sm2(spark: SparkSession, folder: str) -> DataFrame:
     answers = _events(spark, folder).where("event_type IN ('purchase', 'error')").withColumn("right", F.col("event_type") == "purchase")
-    at = state.shared_folder(spark)
+    at = state.new_folder(spark)
     state.run_once(state.sm2_stream(answers), at, "update", state.merge_sink(f"{at}/table", ["user_id", "lemma"]))
     return state.current(spark, f"{at}/table").select("user_id", "lemma", "srs_interval", F.round("srs_ease", 6).alias("srs_ease"), "srs_repetitions", "history")
 
@@ -27,7 +27,7 @@ def stream_sm2(spark: SparkSession, folder: str) -> DataFrame:
 def stream_exposures(spark: SparkSession, folder: str) -> DataFrame:
     """Users and lemmas with an exposure; which event was first in a stream is not fixed, so only the pairs are told."""
     seen = _events(spark, folder).where("event_type IN ('view', 'click')")
-    out = state.run_once(state.first_exposures(seen), state.shared_folder(spark), "append")
+    out = state.run_once(state.first_exposures(seen), state.new_folder(spark), "append")
     return spark.read.parquet(out).select("user_id", "lemma")
 
 

@@ -8,3 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of the folder; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the files give fewer tasks than there are cores; otherwise as they are, unshuffled.
+
+    For work in Python on texts, which takes far longer than moving the texts of so few files once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

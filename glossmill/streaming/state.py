@@ -7,7 +7,6 @@ micro-batch. Watermarks are an addition of this engine.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.operators import review
+from glossmill.operators.lineage import shared_folder
 from glossmill.sources.sinks import upsert
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossmill-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, see lineage.shared_folder()."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -48,9 +47,12 @@ def sm2_stream(answers: DataFrame) -> DataFrame:
     return answers.groupBy("user_id", "lemma").applyInPandasWithState(fold, out, kept, "update", "NoTimeout")
 
 
-def first_exposures(events: DataFrame, watermark: str = "40 days") -> DataFrame:
-    """The first exposure of each user and lemma within the watermark."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "lemma"]).select("user_id", "lemma", "event_id")
+def first_exposures(events: DataFrame) -> DataFrame:
+    """The first exposure of each user and lemma to arrive; however late another one comes, it is none.
+
+    The state is a key for each user and lemma, as many as the lexicons of the users have entries.
+    """
+    return events.dropDuplicates(["user_id", "lemma"]).select("user_id", "lemma", "event_id")
 
 
 def bursts(events: DataFrame, gap: str, watermark: str) -> DataFrame:
