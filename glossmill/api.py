@@ -38,15 +38,18 @@ def build_inverted_pack(senses: DataFrame, frequency: DataFrame, english: DataFr
 def build_tail_shard(candidates: DataFrame, core: DataFrame, english: DataFrame, target_count: int = 100_000) -> DataFrame:
     """Rare keys the core lacks, by zipf, as many as the target count leaves room for, ranked from RANK_OFFSET.
 
-    ``candidates``: target_lang, source, part_of_speech, target, gloss, score, cand_id; ``core``: target_lang, key.
+    ``candidates``: target_lang, source, part_of_speech, target, gloss, score, cand_id and, if there are any, tags (those of
+    SKIP_TAGS are left out); ``core``: target_lang, key.
     """
+    if "tags" in candidates.columns:
+        candidates = candidates.where(~F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in dictionary.SKIP_TAGS])), F.lit(False)))
     c = candidates.withColumn("pos", dictionary.source_class(F.col("source"), F.col("part_of_speech"))).where(F.col("pos").isNotNull() & dictionary.tail_target(F.col("target")))
     c = c.join(core.select("target_lang", F.col("key").alias("source")), ["target_lang", "source"], "left_anti")
     c = c.join(english.select(F.col("word").alias("source"), F.col("zipf").alias("en_zipf")), "source", "left").withColumn("en_zipf", F.coalesce("en_zipf", F.lit(0.0))).where(F.col("en_zipf") < dictionary.NICHE_ZIPF)
     best = dictionary.best_by(c, ["target_lang", "source"], [-F.col("score"), F.col("cand_id")])
     room = core.groupBy("target_lang").agg((F.lit(target_count) - F.count("*")).alias("room"))
-    rn = F.row_number().over(Window.partitionBy("target_lang").orderBy(F.desc("en_zipf"), "source"))
-    ranked = best.withColumn("rn", rn).where(F.col("rn") <= target_count).join(room, "target_lang", "left").where("rn <= coalesce(room, rn)")
+    best = best.join(room, "target_lang", "left").withColumn("room", F.coalesce("room", F.lit(target_count)))
+    ranked = dictionary.first_ranked(best, ["target_lang"], [F.desc("en_zipf"), F.col("source")], [-F.col("en_zipf"), F.substring("source", 1, 2)], F.col("room"))
     return ranked.select("target_lang", "source", F.col("pos").alias("part_of_speech"), "target", dictionary.text.short_gloss(F.col("gloss"), F.col("source"), drop_bracketed=True).alias("source_gloss"), "en_zipf", (F.col("rn") + dictionary.RANK_OFFSET - 1).alias("frequency_rank"), F.lit("low").alias("confidence"))
 
 

@@ -82,16 +82,59 @@ def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return best.select(*keys, *[F.col("__b")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def append_ranks(existing: DataFrame, new: DataFrame, key: list[str], group: str, order: list[Column], limit: int) -> DataFrame:
+def first_ranked(df: DataFrame, group: list[str], order: list[Column], cells: list[Column], limit: Column | int) -> DataFrame:
+    """The first ``limit`` rows of each group in the order, with their place in ``rn``, without sorting a group in one task.
+
+    ``cells`` are the order's first columns as ascending ones, of which the last may be coarse (a prefix, a number cut
+    short): rows of a lower cell come first. They should have few values, as frequencies of two digits have. The rows
+    of each cell are counted before the shuffle; the counts' running sum tells with which rank a cell begins, cells
+    that begin beyond the limit are left out, and only rows of one cell are ranked with each other. ``order`` must be
+    unique for a fixed result. ``limit`` is a number or a column that is constant in a group.
+    """
+    names = [f"__c{i}" for i in range(len(cells))]
+    rows = df.withColumns({n: c for n, c in zip(names, cells)} | {"__limit": limit if isinstance(limit, Column) else F.lit(limit)})
+    counts = rows.groupBy(*group, *names).agg(F.count("*").alias("__n"), F.max("__limit").alias("__most"))
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy(*names))
+    begun = counts.withColumn("__from", upto - F.col("__n")).where(F.col("__from") < F.col("__most")).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*group, *names])], "__from")
+    on = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate([*group, *names])]
+    met = rows.join(begun, on)
+    place = F.row_number().over(Window.partitionBy(*group, *names).orderBy(*order)) + F.col("__from")
+    out = met.withColumn("rn", place.cast("int")).where(F.col("rn") <= F.col("__limit"))
+    return out.drop(*names, "__limit", "__from", *[f"__g{i}" for i in range(len(group) + len(names))])
+
+
+def append_ranks(existing: DataFrame, new: DataFrame, key: list[str], group: str, order: list[Column], limit: int, cells: list[Column] | None = None) -> DataFrame:
     """New rows whose key is not there yet, first ``limit`` in order of each group, ranked on after the group's highest rank.
 
-    The limit is a literal, so each map task prunes to it before the shuffle and a group's task ranks at most that many
-    rows of each map task.
+    ``cells``: see first_ranked(); the order's first column by default.
     """
     top = existing.groupBy(group).agg(F.max("frequency_rank").alias("__top"))
     fresh = new.join(existing.select(*key).distinct(), key, "left_anti")
-    ranked = fresh.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= limit)
-    return ranked.join(top, group, "left").withColumn("frequency_rank", F.coalesce("__top", F.lit(0)) + F.col("__rn")).drop("__rn", "__top")
+    ranked = first_ranked(fresh, [group], order, cells or order[:1], limit)
+    return ranked.join(top, group, "left").withColumn("frequency_rank", F.coalesce("__top", F.lit(0)) + F.col("rn")).drop("rn", "__top")
+
+
+def first_of(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the first table, and those of the second whose key the first has not."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
+def lookup_either(wanted: DataFrame, pack: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """The pack's value for each wanted key as it is written, else for the key in lower case, else null. Both unique in (group, key)."""
+    p = pack.select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.col(value).alias("__v"))
+    side = lambda n: p.select(*[F.col(c).alias(f"{c}{n}") for c in p.columns])
+    j = wanted.join(side(1), (wanted[group] == F.col("__g1")) & (wanted[key] == F.col("__k1")), "left").join(side(2), (wanted[group] == F.col("__g2")) & (F.lower(wanted[key]) == F.col("__k2")), "left")
+    return j.withColumn(value, F.when(F.col("__k1").isNotNull(), F.col("__v1")).otherwise(F.col("__v2"))).drop(*[f"{c}{n}" for c in p.columns for n in (1, 2)])
+
+
+def plain_gender(lang: Column, gender: Column) -> Column:
+    """The gender, but neuter only in German: elsewhere it is contamination and no gender."""
+    return F.when((gender != "neuter") | (lang == "de"), gender)
+
+
+def tail_score(frequency: Column, target: Column) -> Column:
+    """Frequency (zipf) of the target's first word, less one half for each further word."""
+    return F.coalesce(frequency, F.lit(0.0)) - 0.5 * (F.size(text.words_of(target)) - 1)
 
 
 def gloss_pieces(gloss: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions.keys import unit_interval
 from glossmill.functions.text import trim_all
-from glossmill.operators.dictionary import best_by
+from glossmill.operators.dictionary import best_by, first_ranked
 
 # Enumerations, bands and curated corrections.
 CONTENT = ["noun", "adverb", "adjective", "verb", "expression"]
@@ -92,17 +92,14 @@ def apply_fixes(pack: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def verify_batch(pack: DataFrame, ledger: DataFrame, group: str, chunks: int, size: int, low: float = 0.0, high: float = 9.0, confidence: str | None = None) -> DataFrame:
-    """Eligible entries that are not in the ledger, of highest zipf first, as ``chunk_id`` and ``place``; chunks * size of each group.
-
-    The capacity is a literal, so map tasks prune to it before the shuffle.
-    """
+    """Eligible entries that are not in the ledger, of highest zipf first, as ``chunk_id`` and ``place``; chunks * size of each group."""
     z = F.coalesce("en_zipf", F.lit(0.0))
     pool = pack.where(F.col("eligible").eqNullSafe(True)).withColumn("zipf", z).where(F.col("zipf").between(low, high))
     if confidence:
         pool = pool.where(F.col("confidence") == confidence)
     pool = pool.join(ledger.select(group, "key").distinct(), [group, "key"], "left_anti")
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("zipf"), "key"))
-    return pool.withColumn("place", rn).where(F.col("place") <= chunks * size).withColumn("chunk_id", F.floor((F.col("place") - 1) / size).cast("int"))
+    ranked = first_ranked(pool, [group], [F.desc("zipf"), F.col("key")], [-F.col("zipf"), F.substring("key", 1, 2)], chunks * size)
+    return ranked.withColumnRenamed("rn", "place").withColumn("chunk_id", F.floor((F.col("place") - 1) / size).cast("int"))
 
 
 def weighted_sample(pack: DataFrame, key: str, weight: Column, n: int, salt: str) -> DataFrame:

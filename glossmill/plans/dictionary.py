@@ -10,6 +10,8 @@ from glossmill.functions import grammar, text
 from glossmill.operators import dictionary as d
 from glossmill.sources.tables import spread, table
 
+#: Entries that core and tail of a language have together.
+TARGET = 100_000
 _RAW_POS = {"noun": "n", "verb": "v", "adjective": "adj", "adverb": "adv", "expression": "phraseologicalUnit", "function": "preposition"}
 
 
@@ -28,13 +30,13 @@ def pack_core(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """Tail keys that the core lacks, the 100 000 of highest zipf of each language, ranked on from RANK_OFFSET."""
-    from pyspark.sql import Window
-
+    """Tail keys that the core lacks, those of highest zipf, as many as bring a language to TARGET entries, ranked on from RANK_OFFSET."""
     core, tail = d.lexicon(table(spark, folder, "pack_entry")), d.lexicon(table(spark, folder, "tail_entry"))
     fresh = tail.join(core.select("target_lang", "key"), ["target_lang", "key"], "left_anti").withColumn("en_zipf", F.coalesce("en_zipf", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("target_lang").orderBy(F.desc("en_zipf"), "key"))
-    return fresh.withColumn("rn", rank).where(F.col("rn") <= 100_000).select("target_lang", "key", "target", (F.col("rn") + d.RANK_OFFSET - 1).alias("frequency_rank"))
+    room = core.groupBy("target_lang").agg(F.greatest(F.lit(0), TARGET - F.count("*")).alias("room"))
+    fresh = fresh.join(room, "target_lang", "left").withColumn("room", F.coalesce("room", F.lit(TARGET)))
+    ranked = d.first_ranked(fresh, ["target_lang"], [F.desc("en_zipf"), F.col("key")], [-F.col("en_zipf"), F.substring("key", 1, 2)], F.col("room"))
+    return ranked.select("target_lang", "key", "target", (F.col("rn") + d.RANK_OFFSET - 1).alias("frequency_rank"))
 
 
 def pack_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +66,7 @@ def dict_best(spark: SparkSession, folder: str) -> DataFrame:
 def dict_rank_append(spark: SparkSession, folder: str) -> DataFrame:
     core = d.lexicon(table(spark, folder, "pack_entry")).where("target_lang = 'es'").select("target_lang", F.col("key").alias("source"), "frequency_rank")
     new = dict_best(spark, folder).withColumn("target_lang", F.lit("es"))
-    return d.append_ranks(core, new, ["target_lang", "source"], "target_lang", [F.col("rank_priority"), F.col("source_order"), F.col("source")], 50_000).select("source", "target", "frequency_rank")
+    return d.append_ranks(core, new, ["target_lang", "source"], "target_lang", [F.col("rank_priority"), F.col("source_order"), F.col("source")], 50_000, [F.col("rank_priority"), F.shiftright("source_order", 16)]).select("source", "target", "frequency_rank")
 
 
 def gloss_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,16 +83,35 @@ def invert_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tail_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Tail sources by the form gates; a word is real if the corpus or a core key has it."""
-    c = table(spark, folder, "candidate").where("target_lang IS NOT NULL").select("target_lang", F.lower(F.trim("source")).alias("source"), "part_of_speech", F.trim("target").alias("target"), "score", "cand_id")
+    """Tail sources by the form gates, with the target whose first word is the most frequent, and nouns with gender and plural.
+
+    A word is real if the corpus or a core key has it. German plurals are looked up, here among the candidates' own.
+    """
+    c = table(spark, folder, "candidate").where("target_lang IS NOT NULL").select("target_lang", F.lower(F.trim("source")).alias("source"), "part_of_speech", F.trim("target").alias("target"), d.plain_gender(F.col("target_lang"), F.col("gender")).alias("gender"), F.col("plural").alias("given"), "cand_id")
     c = c.withColumn("pos", d.source_class(F.col("source"), F.col("part_of_speech"))).where(F.col("pos").isNotNull() & d.tail_target(F.col("target")))
+    c = c.withColumn("plural", F.when(F.col("pos") == "noun", grammar.derived_plural(F.col("target_lang"), F.col("target"), F.col("gender"), F.col("given")))).where("pos <> 'noun' OR (gender IS NOT NULL AND plural <> '')")
     docs = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'-]*"), 0)).alias("word")).distinct()
-    words = c.select("source", F.explode(F.split("source", " ")).alias("word")).distinct()
-    unreal = words.join(docs, "word", "left_anti").select("source").distinct()
     core = d.lexicon(table(spark, folder, "pack_entry")).select("target_lang", F.col("key").alias("source"))
-    left = c.join(unreal, "source", "left_anti").join(core, ["target_lang", "source"], "left_anti")
-    score = F.when(F.isnan("score") | F.col("score").isNull(), F.lit(-1e9)).otherwise(F.col("score")) - 0.5 * (F.size(text.words_of(F.col("target"))) - 1)
-    return d.best_by(left.withColumn("score", score), ["target_lang", "source"], [-F.col("score"), F.col("cand_id")]).select("target_lang", "source", "pos", "target", "cand_id")
+    words = c.select("source", F.explode(F.split("source", " ")).alias("word")).distinct()
+    unreal = words.join(docs.union(core.select("source")).distinct(), "word", "left_anti").select("source").distinct()
+    frequency = d.word_frequency(table(spark, folder, "candidate").where("target_lang IS NOT NULL AND target IS NOT NULL"), ["target_lang"], "target", r"\S+").select("target_lang", "word", "zipf")
+    left = c.join(unreal, "source", "left_anti").join(core, ["target_lang", "source"], "left_anti").withColumn("word", F.lower(F.get(text.words_of(F.col("target")), F.lit(0))))
+    scored = left.join(frequency, ["target_lang", "word"], "left").withColumn("score", F.round(d.tail_score(F.col("zipf"), F.col("target")), 4))
+    return d.best_by(scored, ["target_lang", "source"], [-F.col("score"), F.col("cand_id")]).select("target_lang", "source", "pos", "target", F.when(F.col("pos") == "noun", F.col("gender")).alias("gender"), "plural", "score", "cand_id")
+
+
+def tail_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of the first inversion, and those that only the second one (the tail table) has."""
+    first = tail_candidates(spark, folder).select("target_lang", F.col("source").alias("key"), "target", F.lit("first").alias("origin"))
+    second = d.lexicon(table(spark, folder, "tail_entry")).select("target_lang", "key", "target", F.lit("second").alias("origin"))
+    return d.first_of(first, second, ["target_lang", "key"]).groupBy("target_lang", "origin").agg(F.count("*").alias("n_keys"))
+
+
+def key_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of the tail looked up in the core as they are written, else in lower case."""
+    wanted = table(spark, folder, "tail_entry").where("target_lang IS NOT NULL AND source IS NOT NULL").select("target_lang", "source").distinct()
+    pack = d.best_by(table(spark, folder, "pack_entry").where("target_lang IS NOT NULL AND source IS NOT NULL").select("target_lang", "source", "entry_id"), ["target_lang", "source"], [F.col("entry_id")])
+    return d.lookup_either(wanted, pack, "target_lang", "source", "entry_id").where("entry_id IS NOT NULL")
 
 
 def _nouns(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +154,7 @@ def strip_generated(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("target_lang").agg(F.count("*").alias("n_entries"), F.sum(F.size("source_ids")).alias("n_ids"))
 
 
-QUERIES = {f.__name__: f for f in (word_zipf, word_tokens_offsets, pack_core, pack_tail, pack_lookup, core_tail_overlap, dict_normalise, dict_best, dict_rank_append, gloss_pieces, invert_best, tail_candidates, derived_plurals, spanish_nouns, plural_repairs, article_forms, source_id_counts, pos_counts, strip_generated)}
+QUERIES = {f.__name__: f for f in (word_zipf, word_tokens_offsets, pack_core, pack_tail, pack_lookup, core_tail_overlap, dict_normalise, dict_best, dict_rank_append, gloss_pieces, invert_best, tail_candidates, tail_merged, key_lookup, derived_plurals, spanish_nouns, plural_repairs, article_forms, source_id_counts, pos_counts, strip_generated)}
 
 
 def _in(words: list[str]) -> str:
@@ -199,7 +220,7 @@ ORACLE = {
     "word_zipf": "SELECT word, n, round(log10(n * 1e9 / sum(n) OVER ()), 2) AS zipf FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word)",
     "word_tokens_offsets": f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS g FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, unnest(w) AS token, unnest(list_slice(g, 1, len(w))) AS gap, unnest(range(len(w))) AS i FROM t), s AS (SELECT doc_id, CAST(i AS INTEGER) AS token_no, token, CAST(sum(length(token) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM r) SELECT doc_id, token_no, token, CAST(stop - length(token) AS INTEGER) AS start, stop FROM s",
     "pack_core": f"SELECT target_lang, key, target, part_of_speech, frequency_rank, entry_id FROM {lexicon_sql('pack_entry')}",
-    "pack_tail": f"SELECT target_lang, key, target, CAST(rn + 999999 AS INTEGER) AS frequency_rank FROM (SELECT target_lang, key, target, row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS rn FROM {lexicon_sql('tail_entry')} t WHERE NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.target_lang = t.target_lang AND lower(p.source) = t.key AND p.target IS NOT NULL)) WHERE rn <= 100000",
+    "pack_tail": f"SELECT target_lang, key, target, CAST(rn + 999999 AS INTEGER) AS frequency_rank FROM (SELECT target_lang, key, target, row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS rn FROM {lexicon_sql('tail_entry')} t WHERE NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.target_lang = t.target_lang AND lower(p.source) = t.key AND p.target IS NOT NULL)) x LEFT JOIN (SELECT target_lang, greatest(0, {TARGET} - count(*)) AS room FROM {lexicon_sql('pack_entry')} GROUP BY target_lang) USING (target_lang) WHERE rn <= coalesce(room, {TARGET})",
     "pack_lookup": f"SELECT w.target_lang, w.key, CASE WHEN c.entry_id IS NOT NULL THEN 'core' WHEN t.entry_id IS NOT NULL THEN 'tail' END AS shard, coalesce(c.target, t.target) AS target, coalesce(c.entry_id, t.entry_id) AS entry_id FROM (SELECT DISTINCT target_lang, lower(source) AS key FROM candidate WHERE target_lang IS NOT NULL AND source IS NOT NULL) w LEFT JOIN {lexicon_sql('pack_entry')} c ON c.target_lang = w.target_lang AND c.key = w.key LEFT JOIN {lexicon_sql('tail_entry')} t ON t.target_lang = w.target_lang AND t.key = w.key",
     "core_tail_overlap": "SELECT target_lang, count(*) AS shared FROM (SELECT target_lang, lower(source) AS k FROM tail_entry WHERE target IS NOT NULL AND source IS NOT NULL AND target_lang IS NOT NULL INTERSECT SELECT target_lang, lower(source) FROM pack_entry WHERE target IS NOT NULL) GROUP BY target_lang",
     "dict_normalise": f"SELECT * FROM {_NORMALISED}",
@@ -207,11 +228,7 @@ ORACLE = {
     "dict_rank_append": f"SELECT source, target, rn + (SELECT max(frequency_rank) FROM {lexicon_sql('pack_entry')} WHERE target_lang = 'es') AS frequency_rank FROM (SELECT source, target, row_number() OVER (ORDER BY rank_priority, source_order, source) AS rn FROM {_BEST} WHERE source NOT IN (SELECT lower(source) FROM pack_entry WHERE target_lang = 'es' AND source IS NOT NULL AND target IS NOT NULL)) WHERE rn <= 50000",
     "gloss_pieces": f"SELECT cand_id, piece, n_words FROM {_GOOD_PIECES}",
     "invert_best": f"SELECT target_lang, source, part_of_speech, target, round(score, 2) AS score, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY target_lang, source ORDER BY score DESC, cand_id) AS rn FROM {_INVERTED}) WHERE rn = 1",
-    "tail_candidates": rf"""WITH real AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM documents), c AS (SELECT target_lang, lower(trim(source)) AS source, part_of_speech AS p, trim(target) AS target, coalesce(CASE WHEN isnan(score) THEN NULL ELSE score END, -1e9) - 0.5 * (len(regexp_split_to_array(trim(target), '\s+')) - 1) AS score, cand_id, len(string_split(lower(trim(source)), ' ')) AS n FROM candidate WHERE target_lang IS NOT NULL),
-      k AS (SELECT *, CASE WHEN n = 1 AND length(source) >= 2 AND regexp_matches(source, '^[a-z][a-z''-]*$') AND p IN ('noun', 'verb', 'adjective', 'adverb') THEN p WHEN n BETWEEN 2 AND 3 AND regexp_matches(source, '^[a-z][a-z'' -]*$') AND len(list_intersect(string_split(source, ' '), {d.TAIL_STOP!r})) = 0 THEN 'expression' END AS pos FROM c),
-      g AS (SELECT * FROM k WHERE pos IS NOT NULL AND length(target) BETWEEN 2 AND 40 AND NOT regexp_matches(target, '\p{{Nd}}|^-|-$|[.():;/]') AND len(regexp_split_to_array(target, '\s+')) <= 3 AND regexp_matches(target, '\p{{L}}')),
-      bad AS (SELECT DISTINCT source FROM (SELECT DISTINCT source, unnest(string_split(source, ' ')) AS word FROM g) WHERE word NOT IN (SELECT word FROM real WHERE word IS NOT NULL))
-      SELECT target_lang, source, pos, target, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY target_lang, source ORDER BY score DESC, cand_id) AS rn FROM g WHERE source NOT IN (SELECT source FROM bad) AND NOT EXISTS (SELECT 1 FROM pack_entry e WHERE e.target_lang = g.target_lang AND lower(e.source) = g.source AND e.target IS NOT NULL)) WHERE rn = 1""",
+    "key_lookup": "WITH p AS (SELECT target_lang, source, min(entry_id) AS entry_id FROM pack_entry WHERE target_lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), w AS (SELECT DISTINCT target_lang, source FROM tail_entry WHERE target_lang IS NOT NULL AND source IS NOT NULL) SELECT w.target_lang, w.source, coalesce(a.entry_id, b.entry_id) AS entry_id FROM w LEFT JOIN p a ON a.target_lang = w.target_lang AND a.source = w.source LEFT JOIN p b ON b.target_lang = w.target_lang AND b.source = lower(w.source) WHERE coalesce(a.entry_id, b.entry_id) IS NOT NULL",
     "derived_plurals": f"""SELECT entry_id, CASE WHEN target NOT LIKE '% %' AND target <> '' THEN CASE target_lang
       WHEN 'es' THEN CASE WHEN regexp_matches(lower(target), '[áéíóú]n$') THEN left(target, -2) || translate(substr(lower(target), length(target) - 1, 1), 'áéíóú', 'aeiou') || 'nes' WHEN lower(target) LIKE '%z' THEN left(target, -1) || 'ces' WHEN regexp_matches(lower(target), '[sx]$') THEN target WHEN regexp_matches(lower(target), '[aeiouáéíóú]$') THEN target || 's' ELSE target || 'es' END
       WHEN 'fr' THEN CASE WHEN regexp_matches(lower(target), '[sxz]$') THEN target WHEN lower(target) LIKE '%al' AND length(target) > 2 THEN left(target, -2) || 'aux' WHEN regexp_matches(lower(target), '(eau|au|eu)$') THEN target || 'x' ELSE target || 's' END
@@ -225,3 +242,19 @@ ORACLE = {
     "source_id_counts": "SELECT source_id, count(*) AS n_entries FROM (SELECT unnest(source_ids) AS source_id FROM pack_entry) GROUP BY source_id",
     "pos_counts": "SELECT target_lang, part_of_speech, count(*) AS n_entries, count(*) FILTER (coalesce(en_zipf, 0) >= 5) AS n_common, max(frequency_rank) AS max_rank FROM pack_entry GROUP BY target_lang, part_of_speech",
 }
+
+_PLURAL = ORACLE["derived_plurals"].split("SELECT entry_id, ")[1].split(" AS plural FROM")[0].replace("CASE target_lang", "CASE target_lang WHEN 'de' THEN given", 1)
+_TAIL = rf"""WITH core AS (SELECT DISTINCT target_lang, lower(source) AS key FROM pack_entry WHERE target_lang IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL),
+      seen AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM documents UNION SELECT key FROM core),
+      c AS (SELECT target_lang, lower(trim(source)) AS source, part_of_speech AS p, trim(target) AS target, CASE WHEN gender <> 'neuter' OR target_lang = 'de' THEN gender END AS gender, plural AS given, cand_id, len(string_split(lower(trim(source)), ' ')) AS n FROM candidate WHERE target_lang IS NOT NULL),
+      k AS (SELECT *, CASE WHEN n = 1 AND length(source) >= 2 AND regexp_matches(source, '^[a-z][a-z''-]*$') AND p IN ('noun', 'verb', 'adjective', 'adverb') THEN p WHEN n BETWEEN 2 AND 3 AND regexp_matches(source, '^[a-z][a-z'' -]*$') AND len(list_intersect(string_split(source, ' '), {d.TAIL_STOP!r})) = 0 THEN 'expression' END AS pos FROM c),
+      g0 AS (SELECT *, CASE WHEN pos = 'noun' THEN {_PLURAL} END AS plural FROM k WHERE pos IS NOT NULL AND length(target) BETWEEN 2 AND 40 AND NOT regexp_matches(target, '\p{{Nd}}|^-|-$|[.():;/]') AND len(regexp_split_to_array(target, '\s+')) <= 3 AND regexp_matches(target, '\p{{L}}')),
+      g AS (SELECT * FROM g0 WHERE pos <> 'noun' OR (gender IS NOT NULL AND plural <> '')),
+      bad AS (SELECT DISTINCT source FROM (SELECT DISTINCT source, unnest(string_split(source, ' ')) AS word FROM g) WHERE word NOT IN (SELECT word FROM seen WHERE word IS NOT NULL)),
+      fw AS (SELECT target_lang, unnest(regexp_extract_all(lower(target), '\S+')) AS word FROM candidate WHERE target_lang IS NOT NULL AND target IS NOT NULL), fq AS (SELECT target_lang, word, round(log10(count(*) * 1e9 / sum(count(*)) OVER (PARTITION BY target_lang)), 2) AS zipf FROM fw GROUP BY target_lang, word),
+      sc AS (SELECT g.*, round(coalesce(zipf, 0) - 0.5 * (len(regexp_split_to_array(target, '\s+')) - 1), 4) AS score FROM g LEFT JOIN fq ON fq.target_lang = g.target_lang AND fq.word = lower(regexp_split_to_array(target, '\s+')[1])),
+      tc AS (SELECT target_lang, source, pos, target, CASE WHEN pos = 'noun' THEN gender END AS gender, plural, score, cand_id FROM sc WHERE source NOT IN (SELECT source FROM bad) AND NOT EXISTS (SELECT 1 FROM core WHERE core.target_lang = sc.target_lang AND core.key = sc.source) QUALIFY row_number() OVER (PARTITION BY target_lang, source ORDER BY score DESC, cand_id) = 1)"""
+ORACLE |= {
+    "tail_candidates": f"{_TAIL} SELECT * FROM tc",
+    "tail_merged": f"{_TAIL}, two AS (SELECT target_lang, key FROM {lexicon_sql('tail_entry')}) SELECT target_lang, 'first' AS origin, count(*) AS n_keys FROM tc GROUP BY target_lang UNION ALL SELECT target_lang, 'second', count(*) FROM two WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.target_lang = two.target_lang AND tc.source = two.key) GROUP BY target_lang",
+}

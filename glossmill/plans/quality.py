@@ -14,6 +14,10 @@ from glossmill.sources import sinks
 from glossmill.sources.tables import table
 
 
+# Chunks of a batch for verification, entries of a chunk.
+CHUNKS, CHUNK = 100, 30
+
+
 def _pack(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pack_entry")
 
@@ -67,7 +71,12 @@ def _ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_batch_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return q.verify_batch(_keyed(spark, folder), _ledger(spark, folder), "target_lang", 20, 30).select("target_lang", "chunk_id", "place", "key", F.round("zipf", 2).alias("zipf"))
+    return q.verify_batch(_keyed(spark, folder), _ledger(spark, folder), "target_lang", CHUNKS, CHUNK).select("target_lang", "chunk_id", "place", "key", F.round("zipf", 2).alias("zipf"))
+
+
+def verify_batch_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and range of frequencies of each language's batch and of its queue of chunks."""
+    return verify_batch_chunks(spark, folder).groupBy("target_lang").agg(F.count("*").alias("n_keys"), F.countDistinct("chunk_id").alias("n_chunks"), F.min("zipf").alias("lowest"), F.max("zipf").alias("highest"))
 
 
 def ledger_union_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +164,7 @@ def domain_policy(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("source_key", "host", category.alias("category"), F.coalesce(blocked, F.lit(False)).alias("blocked"))
 
 
-QUERIES = {f.__name__: f for f in (validate_pack, validate_fragment, duplicate_ranks, duplicate_keys, usable_entries, eligibility_gates, qa_tallies, verify_batch_chunks, ledger_union_diff, audit_weighted, audit_uncommon, golden_snapshot, golden_check, coverage, merge_fragments, apply_decisions, curation_tallies, pack_sizes, provenance, domain_policy)}
+QUERIES = {f.__name__: f for f in (validate_pack, validate_fragment, duplicate_ranks, duplicate_keys, usable_entries, eligibility_gates, qa_tallies, verify_batch_chunks, verify_batch_ranges, ledger_union_diff, audit_weighted, audit_uncommon, golden_snapshot, golden_check, coverage, merge_fragments, apply_decisions, curation_tallies, pack_sizes, provenance, domain_policy)}
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}\x{{85}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{85}}\x{{FEFF}}]+$', '', 'g')"
 _BLANK = lambda c: f"({c} IS NULL OR {_TRIM(c)} = '')"
@@ -192,7 +201,8 @@ ORACLE = {
     "usable_entries": f"SELECT 'core' AS shard, entry_id FROM pack_entry WHERE confidence IN ('high', 'medium') AND {_USABLE} UNION ALL SELECT 'tail', entry_id FROM tail_entry WHERE {_USABLE}",
     "eligibility_gates": f"SELECT target_lang, count(*) AS n_entries, count(*) FILTER {'(' + _OK + ')'} AS replaceable, count(*) FILTER ({_OK} AND coalesce(en_zipf, 0) < 7.5) AS beginner, count(*) FILTER ({_OK} AND coalesce(en_zipf, 0) < 6) AS intermediate, count(*) FILTER ({_OK} AND coalesce(en_zipf, 0) < 5) AS advanced, count(*) FILTER (part_of_speech = 'function' AND function_subtype IS DISTINCT FROM 'determiner') AS standalone_functions FROM pack_entry GROUP BY target_lang",
     "qa_tallies": f"WITH p AS (SELECT lower(source) AS w FROM candidate WHERE source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT part_of_speech) >= 4), e AS (SELECT target_lang, lower(source) IN ({_FIX}) AS f, coalesce(part_of_speech IN ('noun', 'adverb', 'adjective', 'verb', 'expression'), false) AS c, lower(source) IN (SELECT w FROM p) OR regexp_replace(lower(source), 's+$', '') IN (SELECT w FROM p) AS y FROM pack_entry WHERE source IS NOT NULL) SELECT target_lang, count(*) FILTER (f) AS fixed, count(*) FILTER (c AND NOT y) AS eligible, count(*) FILTER (NOT c) AS dropped_function, count(*) FILTER (c AND y) AS dropped_polysemous FROM e GROUP BY target_lang",
-    "verify_batch_chunks": f"SELECT target_lang, CAST(floor((place - 1) / 30) AS INTEGER) AS chunk_id, place, key, round(zipf, 2) AS zipf FROM (SELECT target_lang, key, coalesce(en_zipf, 0) AS zipf, CAST(row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS INTEGER) AS place FROM {_LEX} l WHERE eligible AND coalesce(en_zipf, 0) BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.batch_no = 1 AND p.target_lang = l.target_lang AND lower(p.source) = l.key)) WHERE place <= 600",
+    "verify_batch_chunks": f"SELECT target_lang, CAST(floor((place - 1) / {CHUNK}) AS INTEGER) AS chunk_id, place, key, round(zipf, 2) AS zipf FROM (SELECT target_lang, key, coalesce(en_zipf, 0) AS zipf, CAST(row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS INTEGER) AS place FROM {_LEX} l WHERE eligible AND coalesce(en_zipf, 0) BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.batch_no = 1 AND p.target_lang = l.target_lang AND lower(p.source) = l.key)) WHERE place <= {CHUNKS * CHUNK}",
+    "verify_batch_ranges": f"SELECT target_lang, count(*) AS n_keys, count(DISTINCT chunk_id) AS n_chunks, min(zipf) AS lowest, max(zipf) AS highest FROM (SELECT target_lang, CAST(floor((place - 1) / {CHUNK}) AS INTEGER) AS chunk_id, place, key, round(zipf, 2) AS zipf FROM (SELECT target_lang, key, coalesce(en_zipf, 0) AS zipf, CAST(row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS INTEGER) AS place FROM {_LEX} l WHERE eligible AND coalesce(en_zipf, 0) BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.batch_no = 1 AND p.target_lang = l.target_lang AND lower(p.source) = l.key)) WHERE place <= {CHUNKS * CHUNK}) GROUP BY target_lang",
     "ledger_union_diff": "SELECT DISTINCT target_lang, lower(source) AS key FROM pack_entry WHERE batch_no IN (1, 2) AND source IS NOT NULL EXCEPT SELECT target_lang, lower(source) FROM pack_entry WHERE confidence = 'low' AND source IS NOT NULL",
     "audit_weighted": f"SELECT entry_id, key FROM {_LEX} WHERE {_OK} ORDER BY ln({_U('audit-7')} + pow(2.0, -53)) / pow(10.0, coalesce(en_zipf, 0)) DESC, entry_id LIMIT 400",
     "audit_uncommon": f"SELECT entry_id, key FROM {_LEX} WHERE {_OK} AND coalesce(en_zipf, 0) < 4 ORDER BY {_U('audit-7')}, entry_id LIMIT 300",

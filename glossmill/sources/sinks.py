@@ -29,6 +29,20 @@ def write_chunks(rows: DataFrame, path: str, chunk: str = "chunk_id") -> None:
     rows.write.mode("overwrite").partitionBy(chunk).json(path)
 
 
+def write_padded_chunks(rows: DataFrame, path: str, chunks: int, chunk: str = "chunk_id") -> None:
+    """write_chunks with all of the chunks 0 to ``chunks`` - 1: those without rows are empty folders."""
+    write_chunks(rows, path, chunk)
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    for i in range(chunks):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{chunk}={i}")
+        at.getFileSystem(conf).mkdirs(at)
+
+
+def export_name(base: str, extension: str, at: Column) -> Column:
+    """Name of an export: its base, the day, its kind."""
+    return F.concat(F.lit(f"{base}-"), F.date_format(at, "yyyy-MM-dd"), F.lit(f".{extension}"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 

@@ -243,3 +243,41 @@ def test_merge_sink(spark, tmp_path):
     write(frame(("b", 2)), 1)
     write(frame(("b", 9)), 1)  # a batch that was written is not written again
     assert sorted(map(tuple, state.current(spark, path).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_first_ranked(spark):
+    """Places as one sort of the group gives them, whatever the cells; limits by number and by column."""
+    df = spark.range(400).selectExpr("if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', null)) AS g", "cast(id % 5 AS double) AS z", "concat(char(97 + cast(id % 11 AS int)), id) AS k")
+    rows = df.collect()
+    for limit in (37, F.when(F.col("g") == "a", 5).otherwise(60)):
+        got = {(r.g, r.k): r.rn for r in dictionary.first_ranked(df, ["g"], [F.desc("z"), F.col("k")], [-F.col("z"), F.substring("k", 1, 1)], limit).collect()}
+        most = {"a": 5, "b": 60, None: 60} if not isinstance(limit, int) else dict.fromkeys(("a", "b", None), 37)
+        want = {(g, r.k): i for g in most for i, r in enumerate(sorted((r for r in rows if r.g == g), key=lambda r: (-r.z, r.k)), 1) if i <= most[g]}
+        assert got == want
+    assert dictionary.first_ranked(df.where("false"), ["g"], [F.col("k")], [F.col("z")], 3).count() == 0
+
+
+def test_marks(spark):
+    rows = [("a", 1, "unknown"), ("a", 2, "unknown"), ("b", 1, "unknown"), ("b", 2, "known"), ("c", 1, "known"), ("c", 2, "unknown"), ("d", 1, "unknown"), ("d", 2, "not_unknown"), ("d", 3, "unknown"), ("e", 1, "known"), ("e", 2, "not_known"), ("f", 1, None)]
+    df = spark.createDataFrame([(k, t, t, m) for k, t, m in rows], "k string, ts int, event_id int, mark string")
+    got = {r.k: (r.known, r.unknown, r.unknown_at) for r in review.marks(df, ["k"]).collect()}
+    assert got == {"a": (False, True, 1), "b": (True, False, None), "c": (False, True, 2), "d": (False, True, 3), "e": (False, False, None)}
+
+
+def test_stepped_is_step(spark):
+    states = [((0, 2.5, 0, ""), True), ((1, 2.6, 1, "1"), True), ((3, 2.7, 2, "11"), True), ((8, 1.35, 3, "1111111111"), False)]
+    df = spark.createDataFrame([(*s, ok) for s, ok in states], "i bigint, e double, r int, h string, ok boolean")
+    new = review.stepped(*[F.col(c) for c in "ierh"], F.col("ok"))
+    assert [tuple(r) for r in df.select(*new.values()).collect()] == [review.step(s, ok) for s, ok in states]
+
+
+def test_sink_names(spark, tmp_path):
+    assert column(spark, sinks.export_name("words", "csv", F.col("t").cast("timestamp")), [("2024-05-06 07:08:09",), (None,)], "t string") == ["words-2024-05-06.csv", None]
+    sinks.write_padded_chunks(spark.createDataFrame([(1, "x")], "chunk_id int, key string"), f"{tmp_path}/c", 3)
+    assert sorted(p.name for p in (tmp_path / "c").glob("chunk_id=*")) == ["chunk_id=0", "chunk_id=1", "chunk_id=2"]
+
+
+def test_lookup_either(spark):
+    pack = spark.createDataFrame([("es", "Polish", 1), ("es", "polish", 2), ("es", "cat", 3)], "l string, k string, v int")
+    wanted = spark.createDataFrame([("es", "Polish"), ("es", "POLISH"), ("es", "Cat"), ("de", "cat")], "l string, k string")
+    assert {(r.l, r.k): r.v for r in dictionary.lookup_either(wanted, pack, "l", "k", "v").collect()} == {("es", "Polish"): 1, ("es", "POLISH"): 2, ("es", "Cat"): 3, ("de", "cat"): None}
