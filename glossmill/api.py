@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.operators import dictionary, page, quality
+from glossmill.operators.lineage import written
 
 annotate_quality, validate_pack, merge_fragments = quality.annotate, quality.violations, quality.merge_fragments
 verify_batch, apply_decisions, apply_curation, audit_sample = quality.verify_batch, quality.decide, quality.curate, quality.weighted_sample
@@ -16,12 +17,11 @@ def build_dictionary_pack(raw: DataFrame, curated: DataFrame, target_count: int
 
     ``curated``: target_lang, source, frequency_rank and further columns; ``raw`` and ``enrichment``: see normalise().
     """
-    have = curated.count()
+    have, language = curated.agg(F.count("*"), F.first("target_lang")).first()
     best = dictionary.best_by(dictionary.normalise(raw, **enrichment), ["source"], [F.col("rank_priority"), F.col("source_order")])
-    language = curated.select("target_lang").first()
-    new = best.withColumn("target_lang", F.lit(language[0] if language else None))
+    new = best.withColumn("target_lang", F.lit(language))
     order = [F.col("rank_priority"), F.col("source_order"), F.col("source")]
-    added = dictionary.append_ranks(curated, new, ["target_lang", "source"], "target_lang", order, max(0, target_count - have))
+    added = written(dictionary.append_ranks(curated, new, ["target_lang", "source"], "target_lang", order, max(0, target_count - have)))
     if have + added.count() < target_count:
         raise ValueError(f"fewer than {target_count} entries")
     return curated.unionByName(added.drop("rank_priority", "source_order"), allowMissingColumns=True)

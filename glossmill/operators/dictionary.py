@@ -191,8 +191,8 @@ def invert(candidates: DataFrame, frequency: DataFrame) -> DataFrame:
 def word_frequency(docs: DataFrame, group: list[str], text_col: str, pattern: str = r"[a-z]+") -> DataFrame:
     """``group``, word, n, zipf: log10 of occurrences per billion words of the group, rounded to 2 places."""
     words = docs.select(*group, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pattern), 0)).alias("word")).groupBy(*group, "word").agg(F.count("*").alias("n"))
-    words, by = words.withColumn("__all", F.lit(0)), [*group, "__all"]
-    both = words.join(words.groupBy(*by).agg(F.sum("n").alias("__t")), by)
+    totals = words.groupBy(*group).agg(F.sum("n").alias("__t"))
+    both = words.join(totals, group) if group else words.withColumn("__t", totals.scalar())
     return both.select(*group, "word", "n", F.round(F.log10(F.col("n") * 1e9 / F.col("__t")), 2).alias("zipf"))
 
 

@@ -115,7 +115,8 @@ def key_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _nouns(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pack_entry").where("part_of_speech = 'noun' AND target IS NOT NULL AND target_lang IS NOT NULL")
+    """Nouns in any writing of the label."""
+    return table(spark, folder, "pack_entry").where((F.lower(text.trim_all(F.col("part_of_speech"))) == "noun") & F.col("target").isNotNull() & F.col("target_lang").isNotNull())
 
 
 def derived_plurals(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,7 +203,7 @@ _INVERTED = rf"""(SELECT c.target_lang, g.piece AS source, CASE WHEN g.n_words =
   FROM (SELECT *, lower(target) AS t FROM candidate WHERE target_lang IS NOT NULL AND part_of_speech IN ('noun', 'verb', 'adjective', 'adverb') AND target <> '' AND NOT regexp_matches(target, '\p{{Nd}}') AND target NOT LIKE '-%' AND target NOT LIKE '%-' AND len(string_split(target, ' ')) <= 3 AND (part_of_speech <> 'noun' OR (gender IS NOT NULL AND plural IS NOT NULL))) c
   JOIN {_GOOD_PIECES} g USING (cand_id)
   LEFT JOIN (SELECT target_lang, t, min(zipf) AS base FROM (SELECT DISTINCT target_lang, lower(target) AS t, unnest(string_split(lower(target), ' ')) AS word FROM candidate) JOIN {_FREQ} USING (target_lang, word) WHERE zipf > 0 GROUP BY ALL) b ON b.target_lang = c.target_lang AND b.t = c.t)"""
-_NOUNS = "(SELECT * FROM pack_entry WHERE part_of_speech = 'noun' AND target IS NOT NULL AND target_lang IS NOT NULL)"
+_NOUNS = "(SELECT * FROM pack_entry WHERE lower(trim(part_of_speech, E' \\t\\n')) = 'noun' AND target IS NOT NULL AND target_lang IS NOT NULL)"
 _VOWEL = f"^{grammar.VOWEL}"
 _ARTICLE = f"""CASE kind WHEN 'definite' THEN CASE target_lang
   WHEN 'es' THEN CASE WHEN many THEN CASE WHEN fem THEN 'las ' ELSE 'los ' END WHEN fem AND (regexp_matches(w, '^h?[áà]') OR w IN {_in(grammar.STRESSED_A)}) THEN 'el ' WHEN fem THEN 'la ' ELSE 'el ' END

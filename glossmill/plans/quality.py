@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.keys import unit_interval_sql
+from glossmill.functions.text import trim_all
 from glossmill.operators import page
 from glossmill.operators import quality as q
 from glossmill.operators.dictionary import lexicon
@@ -65,6 +66,11 @@ def _keyed(spark: SparkSession, folder: str) -> DataFrame:
     return lexicon(_pack(spark, folder))
 
 
+def _label(column: str):
+    """The label in any writing."""
+    return F.lower(trim_all(F.col(column)))
+
+
 def _ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the first batch have been decided."""
     return _pack(spark, folder).where("batch_no = 1 AND source IS NOT NULL").select("target_lang", F.lower("source").alias("key")).distinct()
@@ -82,7 +88,7 @@ def verify_batch_ranges(spark: SparkSession, folder: str) -> DataFrame:
 def ledger_union_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger with the keys of batch 2 added, then those of low confidence taken out again."""
     both = _ledger(spark, folder).union(_pack(spark, folder).where("batch_no = 2 AND source IS NOT NULL").select("target_lang", F.lower("source").alias("key"))).distinct()
-    flagged = _pack(spark, folder).where("confidence = 'low' AND source IS NOT NULL").select("target_lang", F.lower("source").alias("key"))
+    flagged = _pack(spark, folder).where((_label("confidence") == "low") & F.col("source").isNotNull()).select("target_lang", F.lower("source").alias("key"))
     return both.exceptAll(both.intersect(flagged)).distinct()
 
 
@@ -97,7 +103,7 @@ def audit_uncommon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def golden_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    p = _keyed(spark, folder).where("eligible AND confidence = 'high'")
+    p = _keyed(spark, folder).where(F.col("eligible") & (_label("confidence") == "high"))
     return q.banded_sample(p, "entry_id", F.coalesce("en_zipf", F.lit(0.0)), 28, "golden-11").select("band", "entry_id", "key", "target")
 
 
@@ -203,10 +209,10 @@ ORACLE = {
     "qa_tallies": f"WITH p AS (SELECT lower(source) AS w FROM candidate WHERE source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT part_of_speech) >= 4), e AS (SELECT target_lang, lower(source) IN ({_FIX}) AS f, coalesce(part_of_speech IN ('noun', 'adverb', 'adjective', 'verb', 'expression'), false) AS c, lower(source) IN (SELECT w FROM p) OR regexp_replace(lower(source), 's+$', '') IN (SELECT w FROM p) AS y FROM pack_entry WHERE source IS NOT NULL) SELECT target_lang, count(*) FILTER (f) AS fixed, count(*) FILTER (c AND NOT y) AS eligible, count(*) FILTER (NOT c) AS dropped_function, count(*) FILTER (c AND y) AS dropped_polysemous FROM e GROUP BY target_lang",
     "verify_batch_chunks": f"SELECT target_lang, CAST(floor((place - 1) / {CHUNK}) AS INTEGER) AS chunk_id, place, key, round(zipf, 2) AS zipf FROM (SELECT target_lang, key, coalesce(en_zipf, 0) AS zipf, CAST(row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS INTEGER) AS place FROM {_LEX} l WHERE eligible AND coalesce(en_zipf, 0) BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.batch_no = 1 AND p.target_lang = l.target_lang AND lower(p.source) = l.key)) WHERE place <= {CHUNKS * CHUNK}",
     "verify_batch_ranges": f"SELECT target_lang, count(*) AS n_keys, count(DISTINCT chunk_id) AS n_chunks, min(zipf) AS lowest, max(zipf) AS highest FROM (SELECT target_lang, CAST(floor((place - 1) / {CHUNK}) AS INTEGER) AS chunk_id, place, key, round(zipf, 2) AS zipf FROM (SELECT target_lang, key, coalesce(en_zipf, 0) AS zipf, CAST(row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS INTEGER) AS place FROM {_LEX} l WHERE eligible AND coalesce(en_zipf, 0) BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.batch_no = 1 AND p.target_lang = l.target_lang AND lower(p.source) = l.key)) WHERE place <= {CHUNKS * CHUNK}) GROUP BY target_lang",
-    "ledger_union_diff": "SELECT DISTINCT target_lang, lower(source) AS key FROM pack_entry WHERE batch_no IN (1, 2) AND source IS NOT NULL EXCEPT SELECT target_lang, lower(source) FROM pack_entry WHERE confidence = 'low' AND source IS NOT NULL",
+    "ledger_union_diff": "SELECT DISTINCT target_lang, lower(source) AS key FROM pack_entry WHERE batch_no IN (1, 2) AND source IS NOT NULL EXCEPT SELECT target_lang, lower(source) FROM pack_entry WHERE lower(trim(confidence, E' \\t\\n')) = 'low' AND source IS NOT NULL",
     "audit_weighted": f"SELECT entry_id, key FROM {_LEX} WHERE {_OK} ORDER BY ln({_U('audit-7')} + pow(2.0, -53)) / pow(10.0, coalesce(en_zipf, 0)) DESC, entry_id LIMIT 400",
     "audit_uncommon": f"SELECT entry_id, key FROM {_LEX} WHERE {_OK} AND coalesce(en_zipf, 0) < 4 ORDER BY {_U('audit-7')}, entry_id LIMIT 300",
-    "golden_snapshot": f"SELECT band, entry_id, key, target FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {_U('golden-11')}, entry_id) AS k2 FROM (SELECT *, CASE WHEN z >= 4.5 AND z < 9 THEN 'common' WHEN z >= 3.5 AND z < 4.5 THEN 'mid' WHEN z >= 2 AND z < 3.5 THEN 'rare' WHEN z >= -1 AND z < 2 THEN 'deep' END AS band FROM (SELECT *, coalesce(en_zipf, 0) AS z FROM {_LEX} WHERE eligible AND confidence = 'high')) WHERE band IS NOT NULL) WHERE k2 <= 28",
+    "golden_snapshot": f"SELECT band, entry_id, key, target FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {_U('golden-11')}, entry_id) AS k2 FROM (SELECT *, CASE WHEN z >= 4.5 AND z < 9 THEN 'common' WHEN z >= 3.5 AND z < 4.5 THEN 'mid' WHEN z >= 2 AND z < 3.5 THEN 'rare' WHEN z >= -1 AND z < 2 THEN 'deep' END AS band FROM (SELECT *, coalesce(en_zipf, 0) AS z FROM {_LEX} WHERE eligible AND lower(trim(confidence, E' \\t\\n')) = 'high')) WHERE band IS NOT NULL) WHERE k2 <= 28",
     "golden_check": f"WITH s AS (SELECT DISTINCT target_lang, lower(source) AS key, lower(target) AS t FROM candidate WHERE source IS NOT NULL AND target IS NOT NULL AND target_lang IS NOT NULL), a AS (SELECT target_lang, key, list(t) AS ts FROM s GROUP BY ALL) SELECT target_lang, CASE WHEN NOT coalesce(eligible, false) THEN 'not eligible' WHEN confidence IS DISTINCT FROM 'high' THEN 'not high' WHEN NOT list_contains(ts, lower(target)) THEN 'wrong target' ELSE 'ok' END AS verdict, count(*) AS n_entries FROM {_LEX} JOIN a USING (target_lang, key) GROUP BY ALL",
     "coverage": f"SELECT c.target_lang, core_keys, tail_keys, tail_bad FROM (SELECT target_lang, count(*) AS core_keys FROM {_LEX} GROUP BY 1) c LEFT JOIN (SELECT target_lang, count(*) AS tail_keys, count(*) FILTER (confidence IS DISTINCT FROM 'low' OR coalesce(en_zipf, 0) >= 5) AS tail_bad FROM {lexicon_sql('tail_entry')} GROUP BY 1) t USING (target_lang)",
     "merge_fragments": "WITH p AS (SELECT target_lang, lower(source) AS key, batch_no, entry_id FROM pack_entry WHERE target_lang IS NOT NULL AND source IS NOT NULL), m AS (SELECT batch_no, CASE WHEN (target_lang, key) IN (SELECT (target_lang, key) FROM p WHERE batch_no = 1) THEN 'existing' WHEN row_number() OVER (PARTITION BY target_lang, key ORDER BY batch_no, entry_id) = 1 THEN 'added' ELSE 'duplicate' END AS o FROM p WHERE batch_no > 1) SELECT batch_no, count(*) AS input, count(*) FILTER (o = 'added') AS added, count(*) FILTER (o = 'existing') AS existing, count(*) FILTER (o = 'duplicate') AS duplicate FROM m GROUP BY ROLLUP (batch_no)",

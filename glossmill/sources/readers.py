@@ -127,21 +127,29 @@ def plural_of(forms: Column) -> Column:
     return F.get(F.transform(F.filter(F.coalesce(forms, F.array()), good), lambda f: F.trim(f["form"])), F.lit(0))
 
 
+def record_key(records: DataFrame) -> Column:
+    """A key of the record's content, the same for any split of the files; records of equal content share it."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in records.columns])))
+
+
 def wikt_senses(records: DataFrame) -> DataFrame:
     """One row for each gloss of a record's senses that are no inflected forms: inputs of ``dictionary.invert``."""
     pos = F.create_map(*[F.lit(x) for p in (("noun", "noun"), ("verb", "verb"), ("adj", "adjective"), ("adv", "adverb")) for x in p])[F.col("pos")]
     from glossmill.operators.dictionary import RESTRICTED
 
-    r = records.select(F.monotonically_increasing_id().alias("cand_id"), pos.alias("part_of_speech"), F.trim("word").alias("target"), gender_of(F.col("tags"), F.col("senses"), F.col("head_templates")).alias("gender"), plural_of(F.col("forms")).alias("plural"), F.posexplode("senses").alias("sense_index", "s")).where("part_of_speech IS NOT NULL")
+    r = records.select(record_key(records).alias("cand_id"), pos.alias("part_of_speech"), F.trim("word").alias("target"), gender_of(F.col("tags"), F.col("senses"), F.col("head_templates")).alias("gender"), plural_of(F.col("forms")).alias("plural"), F.posexplode("senses").alias("sense_index", "s")).where("part_of_speech IS NOT NULL")
     tags = F.coalesce(F.col("s.tags"), F.array())
     inflected = (F.coalesce(F.size("s.form_of"), F.lit(0)) > 0) | (F.coalesce(F.size("s.alt_of"), F.lit(0)) > 0) | F.arrays_overlap(tags, F.array(F.lit("form-of"), F.lit("alt-of"), F.lit("inflection-of")))
     return r.where(~inflected).select("cand_id", "part_of_speech", "target", "gender", "plural", "sense_index", F.arrays_overlap(tags, F.array(*[F.lit(x) for x in RESTRICTED])).alias("restricted"), F.explode("s.glosses").alias("gloss"))
 
 
 def picked_translations(records: DataFrame, codes: tuple[str, ...] = ("de", "fr", "it", "es")) -> DataFrame:
-    """Word, part of speech, first gloss and the translations into the wanted languages, the first of each (code, word)."""
+    """Word, part of speech, first gloss and the translations into the wanted languages, the first of each (code, word).
+
+    Records of equal content give their translations once.
+    """
     every = F.concat(F.coalesce("translations", F.array()), F.flatten(F.transform(F.coalesce("senses", F.array()), lambda s: F.coalesce(s["translations"], F.array()))))
-    numbered = records.withColumn("rec", F.monotonically_increasing_id())  # before the rows multiply
+    numbered = records.withColumn("rec", record_key(records))  # before the rows multiply
     r = numbered.select("rec", "word", "pos", F.col("senses")[0]["glosses"][0].alias("gloss"), F.posexplode_outer(every).alias("no", "t"))
     code, target = F.coalesce("t.code", "t.lang_code"), F.trim("t.word")
     kept = r.withColumns({"code": code, "target": target}).where(F.col("code").isin(*codes) & ~F.col("target").isin("", "-", "—"))
