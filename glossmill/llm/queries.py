@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.keys import unit_interval_sql
+from glossmill.functions.keys import unit_interval, unit_interval_sql
 from glossmill.llm import containers, fingerprint, lookalike, quality, quota_sample, stable_sample, tokens, top_n
 from glossmill.sources.tables import table
 
@@ -47,6 +47,24 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.quota_report(table(spark, folder, "pack_entry"), table(spark, folder, "sample_target"), **_QUOTA)
 
 
+def p5_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """What of the report plain counting gives: available, requested and short rows of each category."""
+    return p5_report(spark, folder).select("cat_id", "available", "requested", "shortfall")
+
+
+def p5_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample held against its report: rows drawn of each category are its quota, of its own rows, each once, of the smallest keys."""
+    report, drawn = p5_report(spark, folder), p5_sample(spark, folder).withColumn("u", unit_interval("row_id", "quota-1"))
+    rows = quota_sample.categorised(table(spark, folder, "pack_entry"), table(spark, folder, "sample_target"), **_QUOTA).select(F.col("__cat").alias("cat_id"), F.col("__id").alias("row_id"), unit_interval("__id", "quota-1").alias("u"))
+    got = drawn.groupBy("cat_id").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"), F.max("u").alias("highest"))
+    left = rows.join(drawn.select("row_id"), "row_id", "left_anti").groupBy("cat_id").agg(F.min("u").alias("lowest"))
+    own = drawn.select("cat_id", "row_id").join(rows.select("cat_id", "row_id"), ["cat_id", "row_id"]).groupBy("cat_id").agg(F.count("*").alias("n_own"))
+    j = report.join(got, "cat_id", "left").join(left, "cat_id", "left").join(own, "cat_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    right = (n == F.col("quota")) & (n == F.coalesce("n_rows", F.lit(0))) & (n == F.coalesce("n_own", F.lit(0))) & F.coalesce(F.col("highest") <= F.col("lowest"), F.lit(True))
+    return j.select("cat_id", right.alias("right"))
+
+
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.quota_sample(table(spark, folder, "pack_entry"), table(spark, folder, "sample_target"), **_QUOTA)
 
@@ -68,6 +86,12 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_final(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms brought to one form again: how many texts changed, which must be none."""
+    again = lookalike.one_form(p6_forms(spark, folder).select("entry_id", F.col("source").alias("s"), F.col("target").alias("t"), "source", "target"), ["entry_id", "s", "t"], ["source", "target"])
+    return again.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("s").eqNullSafe(F.col("source")) | ~F.col("t").eqNullSafe(F.col("target"))).alias("n_changed"))
+
+
 def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.roundtrip(table(spark, folder, "documents"), "doc_id", "text").groupBy("same").agg(F.count("*").alias("n_docs"))
 
@@ -78,6 +102,18 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers.fill_all(sizes, "doc_id", "n_tokens", table(spark, folder, "container_spec"), partitions=containers.partitions_for(docs.count()))
 
 
+def p8_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """The filling held against its rules: documents placed, pieces cut without need, containers over capacity, tokens lost."""
+    docs, specs = table(spark, folder, "documents"), table(spark, folder, "container_spec")
+    placed = p8_containers(spark, folder).withColumn("len", F.col("piece_to") - F.col("piece_from"))
+    loads = placed.where("container_id IS NOT NULL").groupBy("spec_id", "container_id").agg(F.sum("len").alias("load")).join(specs, "spec_id")
+    over = loads.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("n_over"), F.sum("load").alias("n_placed"))
+    each = placed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("len").alias("n")).join(specs, "spec_id")
+    cut = each.groupBy("spec_id").agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("n_cut"))
+    total = tokens.token_counts(docs, "doc_id", "text").agg(F.sum("n_tokens")).scalar()
+    return specs.select("spec_id").join(over, "spec_id").join(cut, "spec_id").select("spec_id", "n_docs", "n_cut", "n_over", (total - F.col("n_placed")).alias("n_lost"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     kinds = quality.text_kinds(table(spark, folder, "documents"), "doc_id", "text", only=None)
     return kinds.where(F.col("kind") != "prose").select("doc_id", "kind")
@@ -87,7 +123,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_kinds(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p1_batches, p3_found, p3_records, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_forms, p6_classes, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p1_batches, p3_found, p3_records, p4_found, p5_found, p5_report, p5_requests, p5_sample, p5_drawn, p6_found, p6_forms, p6_final, p6_classes, p7_ids, p7_roundtrip, p8_containers, p8_loads, p9_found, p9_statistics)}
 
 _U1 = unit_interval_sql("source", "sample-1")
 _FOLD = lambda c: rf"regexp_replace(replace(lower({c}), 'ß', 'ss'), '[\p{{P}}\p{{Z}}\s\x{{85}}]+', '', 'g')"
@@ -115,6 +151,11 @@ ORACLE: dict[str, str] = {
     "p3_found": f"SELECT first_id, entry_id AS copy_id FROM (SELECT entry_id, min(entry_id) OVER (PARTITION BY target_lang, x, y) AS first_id FROM ({_RECORDS})) WHERE entry_id <> first_id",
     "p3_records": f"SELECT min(entry_id) AS first_id, count(*) AS copies FROM ({_RECORDS}) GROUP BY target_lang, x, y",
     "p4_found": "SELECT target_lang, source, rank_no, cand_id FROM (SELECT target_lang, source, cand_id, CAST(row_number() OVER (PARTITION BY target_lang, source ORDER BY CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE score END DESC, target, cand_id) AS INTEGER) AS rank_no FROM candidate WHERE target_lang IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) WHERE rank_no <= 3",
+    "p5_requests": f"WITH n AS (SELECT cat_id, count(*) AS n FROM ({_CATEGORISED}) GROUP BY cat_id) SELECT t.cat_id, coalesce(n.n, 0) AS available, greatest(CAST(round(t.sample_rows * t.target_share) AS BIGINT), t.min_rows) AS requested, greatest(0, greatest(CAST(round(t.sample_rows * t.target_share) AS BIGINT), t.min_rows) - coalesce(n.n, 0)) AS shortfall FROM sample_target t LEFT JOIN n USING (cat_id)",
+    "p5_drawn": "SELECT cat_id, true AS right FROM sample_target",
+    "p6_final": "SELECT count(*) AS n_rows, 0 AS n_changed FROM tail_entry",
+    "p7_roundtrip": "SELECT true AS same, count(*) AS n_docs FROM documents",
+    "p8_loads": "SELECT spec_id, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_cut, 0 AS n_over, 0 AS n_lost FROM container_spec",
     "p9_statistics": f"{_STATISTICS} SELECT * FROM k",
     "p9_found": f"{_STATISTICS} SELECT doc_id, kind FROM k WHERE kind <> 'prose'",
     "p5_found": f"WITH n AS (SELECT cat_id, count(*) AS n FROM ({_CATEGORISED}) GROUP BY cat_id) SELECT t.cat_id FROM sample_target t LEFT JOIN n USING (cat_id) WHERE coalesce(n.n, 0) < greatest(CAST(round(t.sample_rows * t.target_share) AS BIGINT), t.min_rows)",

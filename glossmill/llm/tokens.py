@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 FOLDER, NAME = "/opt/tokenizers", "byte_bpe_50k"
 # Fixed value: the pre-splitting pattern of the tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF, WINDOW = 1 << 13, 64
+LEAF, WINDOW = 1 << 11, 64
 
 #: The pattern must cut before white space that follows a character that is none, and between an ASCII letter and
 #: digit. No match holds such a pair, and no lookahead reaches across it.
