@@ -218,7 +218,7 @@ _ARTICLE = f"""CASE kind WHEN 'definite' THEN CASE target_lang
 _FIRST = r"split_part(trim(regexp_replace(noun, '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+', ' ', 'g')), ' ', 1)"
 
 ORACLE = {
-    "word_zipf": "SELECT word, n, round(log10(n * 1e9 / sum(n) OVER ()), 2) AS zipf FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word)",
+    "word_zipf": "SELECT word, n, round(log10(n * 1e9 / sum(n) OVER ()), 2) AS zipf FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE split_part(split_part(lower(trim(lang, E' \\t\\n')), '-', 1), '_', 1) = 'en') GROUP BY word)",
     "word_tokens_offsets": f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS g FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, unnest(w) AS token, unnest(list_slice(g, 1, len(w))) AS gap, unnest(range(len(w))) AS i FROM t), s AS (SELECT doc_id, CAST(i AS INTEGER) AS token_no, token, CAST(sum(length(token) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM r) SELECT doc_id, token_no, token, CAST(stop - length(token) AS INTEGER) AS start, stop FROM s",
     "pack_core": f"SELECT target_lang, key, target, part_of_speech, frequency_rank, entry_id FROM {lexicon_sql('pack_entry')}",
     "pack_tail": f"SELECT target_lang, key, target, CAST(rn + 999999 AS INTEGER) AS frequency_rank FROM (SELECT target_lang, key, target, row_number() OVER (PARTITION BY target_lang ORDER BY coalesce(en_zipf, 0) DESC, key) AS rn FROM {lexicon_sql('tail_entry')} t WHERE NOT EXISTS (SELECT 1 FROM pack_entry p WHERE p.target_lang = t.target_lang AND lower(p.source) = t.key AND p.target IS NOT NULL)) x LEFT JOIN (SELECT target_lang, greatest(0, {TARGET} - count(*)) AS room FROM {lexicon_sql('pack_entry')} GROUP BY target_lang) USING (target_lang) WHERE rn <= coalesce(room, {TARGET})",
