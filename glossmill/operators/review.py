@@ -34,13 +34,18 @@ def lifecycle(interval: int, history: str) -> str:
     return "mature" if interval > MATURE else "reviewing" if interval >= REVIEWING else "learning"
 
 
-def fold_answers(answers: DataFrame, keys: list[str], ts: str, tie: str, correct: str) -> DataFrame:
+def fold_answers(answers: DataFrame, keys: list[str], ts: str, tie: str, correct: str, state: DataFrame | None = None) -> DataFrame:
     """State of each key after all its answers in time order: keys, STATE, ``last_reviewed`` and ``lifecycle``.
 
     The fold is sequential, so a key stays in one task, but as a stream: rows arrive sorted from a spilling sort and
     one state is held at a time, however many answers a key has. Null keys form a key; null outcomes count as wrong.
+    ``state``: what an earlier fold gave; it goes on from there, and keys without answers come out as they are.
     """
-    ordered = answers.select(*keys, F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), F.coalesce(F.col(correct), F.lit(False)).alias("__ok")).repartition(*keys).sortWithinPartitions(*keys, "__ts", "__tie")
+    rows = answers.select(*keys, F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), F.coalesce(F.col(correct), F.lit(False)).alias("__ok"), *[F.lit(None).cast(t).alias(c) for c, t in STATE])
+    if state is not None:
+        kept = state.select(*keys, F.col("last_reviewed").alias("__ts"), F.lit(None).cast(rows.schema["__tie"].dataType).alias("__tie"), F.lit(False).alias("__ok"), *[c for c, _ in STATE])
+        rows = rows.unionByName(kept)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("history"), "__ts", "__tie")
     schema = T.StructType([*ordered.select(*keys).schema.fields, *[T.StructField(c, t) for c, t in STATE], T.StructField("last_reviewed", ordered.schema["__ts"].dataType), T.StructField("lifecycle", T.StringType())])
     n = len(keys)
 
@@ -58,12 +63,12 @@ def fold_answers(answers: DataFrame, keys: list[str], ts: str, tie: str, correct
         for batch in batches:
             types = types or [batch.schema.field(i).type for i in range(n + 1)]
             cols = [c.to_pylist() for c in batch.columns]
-            for *key, at, _, ok in zip(*cols):
+            for *key, at, _, ok, interval, ease, reps, history in zip(*cols):
                 if key != current:
                     if current is not None:
                         out.append(row())
                     current, state = key, (0, EASE, 0, "")
-                state, last = step(state, ok), at
+                state, last = step(state, ok) if history is None else (interval, ease, reps, history), at
             if len(out) > 10_000:
                 yield flush(out)
                 out = []

@@ -20,8 +20,8 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 def stream_sm2(spark: SparkSession, folder: str) -> DataFrame:
     answers = _events(spark, folder).where("event_type IN ('purchase', 'error')").withColumn("right", F.col("event_type") == "purchase")
     at = state.new_folder(spark)
-    state.run_once(state.sm2_stream(answers), at, "update", state.merge_sink(f"{at}/table", ["user_id", "lemma"]))
-    return state.current(spark, f"{at}/table").select("user_id", "lemma", "srs_interval", F.round("srs_ease", 6).alias("srs_ease"), "srs_repetitions", "history")
+    state.run_once(answers, at, "append", state.answer_sink(f"{at}/table"))
+    return state.current(spark, f"{at}/table", state.ANSWERED).select("user_id", "lemma", "srs_interval", F.round("srs_ease", 6).alias("srs_ease"), "srs_repetitions", "history")
 
 
 def stream_exposures(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,17 +6,20 @@ micro-batch. Watermarks are an addition of this engine.
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.operators import review
 from glossmill.operators.lineage import shared_folder
-from glossmill.sources.sinks import upsert
+
+
+#: Parts of a table that a batch rewrites as a whole.
+BUCKETS = 64
+ANSWERED = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("lemma", T.StringType()), *[T.StructField(c, t) for c, t in review.STATE], T.StructField("last_reviewed", T.TimestampType()), T.StructField("lifecycle", T.StringType())])
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -28,25 +31,6 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> Da
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
 
 
-def sm2_stream(answers: DataFrame) -> DataFrame:
-    """State after each micro-batch for the keys it touched: user_id, lemma, interval, ease, repetitions, history.
-
-    ``answers``: user_id, lemma, ts, event_id, right, as a stream. State is four small values for each key.
-    """
-    out = "user_id bigint, lemma string, srs_interval bigint, srs_ease double, srs_repetitions int, history string, n_answers bigint"
-    kept = "srs_interval bigint, srs_ease double, srs_repetitions int, history string, n_answers bigint"
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        *now, n = state.get if state.exists else (0, review.EASE, 0, "", 0)
-        rows = sorted((x for f in frames for x in zip(f["ts"].tolist(), f["event_id"].tolist(), f["right"].tolist())), key=lambda x: x[:2])
-        for *_, right in rows:
-            now, n = review.step(tuple(now), bool(right)), n + 1
-        state.update((*now, n))
-        yield pd.DataFrame([(*key, *now, n)], columns=["user_id", "lemma", "srs_interval", "srs_ease", "srs_repetitions", "history", "n_answers"])
-
-    return answers.groupBy("user_id", "lemma").applyInPandasWithState(fold, out, kept, "update", "NoTimeout")
-
-
 def first_exposures(events: DataFrame) -> DataFrame:
     """The first exposure of each user and lemma to arrive; however late another one comes, it is none.
 
@@ -60,32 +44,62 @@ def bursts(events: DataFrame, gap: str, watermark: str) -> DataFrame:
     return events.withWatermark("ts", watermark).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
 
 
-def merge_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the batch's rows put over the table's rows of equal keys.
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Finished versions of a bucketed table and the buckets each has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda x: [s.getPath().getName() for s in fs.listStatus(x)] if fs.exists(x) else []
+    out = {}
+    for v in names(at):
+        inside = names(spark._jvm.org.apache.hadoop.fs.Path(at, v))
+        if "_SUCCESS" in inside:
+            out[int(v[1:])] = [int(n.split("=")[1]) for n in inside if n.startswith("__bucket=")]
+    return out
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """The table bucket_sink wrote: of each bucket (of all, unless some are named) the rows of the newest version that has it."""
+    newest = {b: v for v, has in sorted(_versions(spark, path).items()) for b in has}
+    wanted = [f"{path}/v{v}/__bucket={b}" for b, v in newest.items() if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
+
 
-    Each batch writes a new version beside the last and only then names it current, and a batch that has been written is
-    not written again, so a retried batch changes nothing and a lost executor costs a task only.
+def bucket_sink(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: ``merge(rows there are, batch)`` for the buckets of keys that the batch touches, all others untouched.
+
+    Each batch writes its buckets as a version of their own and only then counts. A batch that has been written is not
+    written again, so a retried batch changes nothing; what it replaces is removed only after it, when no retry can ask
+    for it any more. At most BUCKETS numbers reach the driver. Keys of one hash share a bucket.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path(path)) if fs.exists(fs_path(f"{s.getPath()}/_SUCCESS"))) if fs.exists(fs_path(path)) else []
-        if batch_id in done or batch.isEmpty():
+        done = _versions(spark, path)
+        if batch_id in done:
+            return
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
+        if not touched:
             return
-        merged = upsert(spark.read.parquet(f"{path}/v{done[-1]}"), batch, keys) if done else batch
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        merged = merge(current(spark, path, schema, touched), batch).select(*schema.names)
+        merged.withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/v{batch_id}")
+        newest = {b: v for v, has in sorted(done.items()) for b in has}
+        for v, has in done.items():
+            for b in has:
+                if newest[b] != v:  # replaced before this batch already
+                    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}/__bucket={b}")
+                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that merge_sink finished."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path(path)) if fs.exists(fs_path(f"{s.getPath()}/_SUCCESS")))
-    return spark.read.parquet(os.path.join(path, f"v{done[-1]}"))
+def answer_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Answers (user_id, lemma, ts, event_id, right) folded into the learning state of their words, see review.fold_answers().
+
+    The state is the table itself; a batch is folded partition by partition in Arrow batches, not key by key.
+    """
+    fold = lambda old, batch: review.fold_answers(batch, ["user_id", "lemma"], "ts", "event_id", "right", old)
+    return bucket_sink(path, ["user_id", "lemma"], fold, ANSWERED)
 
 
 def run_once(stream: DataFrame, folder: str, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> str:

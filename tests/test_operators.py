@@ -233,16 +233,33 @@ def test_small_functions(spark):
     assert [(r.word, r.plural) for r in dictionary.noun_metadata(nouns, "o").collect()] == [("Hund", "Hunde")]
 
 
-def test_merge_sink(spark, tmp_path):
+def test_bucket_sink(spark, tmp_path):
+    """Only the buckets a batch touches are rewritten; a retried batch changes nothing."""
+    from pyspark.sql import types as T
+
     from glossmill.streaming import state
 
-    path = str(tmp_path / "table")
-    write = state.merge_sink(path, ["k"])
-    frame = lambda *rows: spark.createDataFrame(rows, "k string, v int")
-    write(frame(("a", 1), ("b", 1)), 0)
-    write(frame(("b", 2)), 1)
-    write(frame(("b", 9)), 1)  # a batch that was written is not written again
-    assert sorted(map(tuple, state.current(spark, path).collect())) == [("a", 1), ("b", 2)]
+    path, schema = f"file://{tmp_path}/table", T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    write = state.bucket_sink(path, ["k"], lambda old, new: sinks.upsert(old, new, ["k"]), schema)
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    write(rows(*[(f"k{i}", i) for i in range(300)]), 0)
+    write(rows(("k7", 70), ("new", 1), (None, 2)), 1)
+    write(rows(("k7", 71)), 1)
+    write(rows(), 2)
+    write(rows(("k7", 72)), 3)
+    got = {r.k: r.v for r in state.current(spark, path, schema).collect()}
+    assert got == {f"k{i}": i for i in range(300)} | {"k7": 72, "new": 1, None: 2}
+    assert len(state._versions(spark, path)[1]) <= 3 and len(state._versions(spark, path)[0]) < state.BUCKETS
+
+
+def test_fold_goes_on(spark):
+    """Answers folded in two parts give the state of all at once."""
+    rows = [(f"k{i % 7}", i, i, i % 3 > 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, id bigint, ok boolean")
+    once = review.fold_answers(df, ["k"], "ts", "id", "ok")
+    first = review.fold_answers(df.where("ts < 31 OR k = 'k2'"), ["k"], "ts", "id", "ok")
+    again = review.fold_answers(df.where("ts >= 31 AND k <> 'k2'"), ["k"], "ts", "id", "ok", first)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_first_ranked(spark):
