@@ -16,7 +16,7 @@ CONFIDENCE = ["high", "medium", "low"]
 GENDERS = {"es": ["masculine", "feminine"], "fr": ["masculine", "feminine"], "it": ["masculine", "feminine"], "de": ["masculine", "feminine", "neuter"]}
 SUBTYPES = ["determiner", "preposition", "conjunction", "pronoun"]
 BANDS = {"common": (4.5, 9.0), "mid": (3.5, 4.5), "rare": (2.0, 3.5), "deep": (-1.0, 2.0)}
-UNCOMMON, COMMON = 4.0, 5.0
+UNCOMMON = 4.0
 FIXES = [("small", "pequeño", None, None), ("native american", "nativo americano", None, None), ("armed conflict", "conflicto armado", None, None), ("your mother", "tu madre", None, None), ("butt", "trasero", "masculine", "traseros"), ("cock", "gallo", "masculine", "gallos"), ("pullet", "pollita", "feminine", "pollitas"), ("old maid", "solterona", None, None), ("billy goat", "macho cabrío", None, None)]
 
 

@@ -298,3 +298,17 @@ def test_lookup_either(spark):
     pack = spark.createDataFrame([("es", "Polish", 1), ("es", "polish", 2), ("es", "cat", 3)], "l string, k string, v int")
     wanted = spark.createDataFrame([("es", "Polish"), ("es", "POLISH"), ("es", "Cat"), ("de", "cat")], "l string, k string")
     assert {(r.l, r.k): r.v for r in dictionary.lookup_either(wanted, pack, "l", "k", "v").collect()} == {("es", "Polish"): 1, ("es", "POLISH"): 2, ("es", "Cat"): 3, ("de", "cat"): None}
+
+
+def test_bursts(spark, tmp_path):
+    """Runs of a user's events are told once the watermark has passed them."""
+    from glossmill.streaming import state
+
+    rows = [(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:00:01"), (1, "2024-01-01 10:09:00"), (2, "2024-01-01 10:00:30"), (3, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "user_id bigint, t string").selectExpr("user_id", "cast(t AS timestamp) AS ts")
+    for part, at in (("user_id < 3", "a"), ("user_id = 3", "b")):  # the second file moves the watermark
+        df.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{at}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = state.run_once(state.bursts(stream, "5 minutes", "1 hour"), f"file://{tmp_path}/run", "append")
+    got = sorted((r.user_id, r.n_events) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]
