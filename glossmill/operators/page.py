@@ -56,20 +56,22 @@ def score(rank: Column, seen: Column, last_seen_ms: Column, interval: Column, kn
     return F.when(known, 0.0).when(graduated, raw * MAINTENANCE).otherwise(raw)
 
 
-def matches(docs: DataFrame, lexicon: DataFrame, key: str, text_col: str) -> DataFrame:
+def matches(docs: DataFrame, lexicon: DataFrame, key: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
     """Every place of the texts that the lexicon has: expressions of any length, and words in the forms they are met in.
 
     ``lexicon``: target_lang, key, part_of_speech, function_subtype, n_words, one row for each language and key. Columns: ``key``,
     target_lang, start, end, lemma, kind, n_words, ``made`` (1 where the word is an inflected form), token, back.
     Expressions have white space only between their words and may overlap here, see greedy_matches(); words with an apostrophe
-    or hyphen are no words of the lexicon.
+    or hyphen are no words of the lexicon. ``only``: target_lang and lemma of the words to be told, all by default; which entry a form
+    goes to is settled before.
 
     The texts are scanned once. A token meets the lexicon by itself and by the two and three words that begin with it; the
     rest of a longer expression is compared on the spot, with as many words ahead as the longest one has. The lexicon's
     side is counted first: up to BROADCAST rows are broadcast, beyond it both sides are shuffled, hot words salted.
     """
     expressions = lexicon.where("part_of_speech = 'expression'").select("target_lang", F.col("key").alias("lemma"), F.lit("expression").alias("kind"), "n_words", F.lit(0).alias("made"), F.substring_index("key", " ", HEAD).alias("__head"), F.least("n_words", F.lit(HEAD)).alias("__n"))
-    words = surfaces(lexicon).select("target_lang", "lemma", "kind", F.lit(1).alias("n_words"), (F.col("surface") != F.col("lemma")).cast("int").alias("made"), F.col("surface").alias("__head"), F.lit(1).alias("__n"))
+    met = surfaces(lexicon) if only is None else surfaces(lexicon).join(only, ["target_lang", "lemma"], "left_semi")
+    words = met.select("target_lang", "lemma", "kind", F.lit(1).alias("n_words"), (F.col("surface") != F.col("lemma")).cast("int").alias("made"), F.col("surface").alias("__head"), F.lit(1).alias("__n"))
     heads = written(expressions.unionByName(words))
     size, longest = heads.agg(F.count("*"), F.max("n_words")).first()
     scanned = text.tokens(docs, key, text_col, max(1, (longest or 1) - 1)).withColumn("__low", F.lower("token"))
@@ -167,6 +169,11 @@ def surfaces(lexicon: DataFrame) -> DataFrame:
     return first.select("target_lang", "__x.lemma", "__x.kind", "surface").where(~((F.col("kind") == "noun") & (F.col("lemma").isin(grammar.PRONOUNS) | F.col("surface").isin(grammar.PRONOUNS))))
 
 
+def shown(lexicon: DataFrame, level: str | None = "beginner") -> DataFrame:
+    """target_lang and lemma of the entries that may replace a word for a reader of the level."""
+    return lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level)).select("target_lang", F.col("key").alias("lemma"))
+
+
 def candidates(found: DataFrame, kept: DataFrame, lexicon: DataFrame, key: str, level: str | None = "beginner") -> DataFrame:
     """First replaceable occurrence of each lemma in a text and language: ``key``, target_lang, lemma, start, end, kind.
 
@@ -174,7 +181,7 @@ def candidates(found: DataFrame, kept: DataFrame, lexicon: DataFrame, key: str,
     before single words; the first occurrence of an expression reserves its range, and words in a reserved range do not count.
     """
     keys = [key, "target_lang"]
-    good = lexicon.where(replaceable(F.col("eligible"), F.col("confidence"), F.col("en_zipf")) & below_ceiling(F.col("en_zipf"), level)).select("target_lang", F.col("key").alias("lemma"))
+    good = shown(lexicon, level)
     firsts = kept.join(good, ["target_lang", "lemma"]).groupBy(*keys, "lemma").agg(F.min(F.struct("start", "end")).alias("__f"))
     firsts = firsts.select(*keys, "lemma", "__f.start", "__f.end", F.lit("expression").alias("kind"))
     met = found.join(good, ["target_lang", "lemma"]).select(*keys, "lemma", "start", "end", "kind")
